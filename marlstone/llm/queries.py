@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from marlstone.llm.quality_rules import OP9_SQL, op9_quality_rules
 from marlstone.llm.simhash_neardup import op7_simhash_pigeonring
+from marlstone.llm.substring_dedup import op5_relative_lempel_ziv
 from marlstone.llm.token_counts import op2_token_counts
 from marlstone.llm.token_files import op10_repair_token_files
 
 QUERIES = {
     "op2_token_counts": op2_token_counts,
+    "op5_relative_lempel_ziv": op5_relative_lempel_ziv,
     "op7_simhash_pigeonring": op7_simhash_pigeonring,
     "op9_quality_rules": op9_quality_rules,
     "op10_repair_token_files": op10_repair_token_files,

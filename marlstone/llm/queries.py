@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from marlstone.llm.pii_boosting import op3_pii_boosted
 from marlstone.llm.quality_rules import OP9_SQL, op9_quality_rules
 from marlstone.llm.simhash_neardup import op7_simhash_pigeonring
 from marlstone.llm.substring_dedup import op5_relative_lempel_ziv
@@ -10,6 +11,7 @@ from marlstone.llm.token_files import op10_repair_token_files
 
 QUERIES = {
     "op2_token_counts": op2_token_counts,
+    "op3_pii_boosted": op3_pii_boosted,
     "op5_relative_lempel_ziv": op5_relative_lempel_ziv,
     "op7_simhash_pigeonring": op7_simhash_pigeonring,
     "op9_quality_rules": op9_quality_rules,

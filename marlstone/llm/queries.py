@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from marlstone.llm.pii_boosting import op3_pii_boosted
 from marlstone.llm.quality_rules import OP9_SQL, op9_quality_rules
+from marlstone.llm.secret_ownership import op6_secret_ownership
 from marlstone.llm.simhash_neardup import op7_simhash_pigeonring
 from marlstone.llm.substring_dedup import op5_relative_lempel_ziv
 from marlstone.llm.token_counts import op2_token_counts
@@ -13,6 +14,7 @@ QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_pii_boosted": op3_pii_boosted,
     "op5_relative_lempel_ziv": op5_relative_lempel_ziv,
+    "op6_secret_ownership": op6_secret_ownership,
     "op7_simhash_pigeonring": op7_simhash_pigeonring,
     "op9_quality_rules": op9_quality_rules,
     "op10_repair_token_files": op10_repair_token_files,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from marlstone.llm.decontamination import OP4_SQL, op4_spaced_seeds
+from marlstone.llm.mixing import OP8_SQL, op8_hierarchical_mixing
 from marlstone.llm.pii_boosting import op3_pii_boosted
 from marlstone.llm.quality_rules import OP9_SQL, op9_quality_rules
 from marlstone.llm.secret_ownership import op6_secret_ownership
@@ -13,12 +15,16 @@ from marlstone.llm.token_files import op10_repair_token_files
 QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_pii_boosted": op3_pii_boosted,
+    "op4_spaced_seeds": op4_spaced_seeds,
     "op5_relative_lempel_ziv": op5_relative_lempel_ziv,
     "op6_secret_ownership": op6_secret_ownership,
     "op7_simhash_pigeonring": op7_simhash_pigeonring,
+    "op8_hierarchical_mixing": op8_hierarchical_mixing,
     "op9_quality_rules": op9_quality_rules,
     "op10_repair_token_files": op10_repair_token_files,
 }
 ORACLE_SQL = {
+    "op4_spaced_seeds": OP4_SQL,
+    "op8_hierarchical_mixing": OP8_SQL,
     "op9_quality_rules": OP9_SQL,
 }

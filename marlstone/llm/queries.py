@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from marlstone.llm.decontamination import OP4_SQL, op4_spaced_seeds
+from marlstone.llm.html_extraction import op1_tag_path_ratios
 from marlstone.llm.mixing import OP8_SQL, op8_hierarchical_mixing
 from marlstone.llm.pii_boosting import op3_pii_boosted
 from marlstone.llm.quality_rules import OP9_SQL, op9_quality_rules
@@ -13,6 +14,7 @@ from marlstone.llm.token_counts import op2_token_counts
 from marlstone.llm.token_files import op10_repair_token_files
 
 QUERIES = {
+    "op1_tag_path_ratios": op1_tag_path_ratios,
     "op2_token_counts": op2_token_counts,
     "op3_pii_boosted": op3_pii_boosted,
     "op4_spaced_seeds": op4_spaced_seeds,

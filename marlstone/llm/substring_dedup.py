@@ -8,14 +8,15 @@ earlier document. Factors are thus at least `width` words long. Every window tha
 straddles the boundary of two factors is looked up itself, so that factors which
 only stand side by side here lend each other no words.
 
-Flow. Tasks hash the windows of a few thousand documents at a time and send each
-block one packed row: window hashes, and bits for windows that a smaller document
-of the same batch holds already, which need no answer. A window that very many
-documents share therefore reaches its block once a batch, not once a document. A
-block finds the least id of each hash and answers with bits and reference ids,
-one row for each document that has any. Answers meet the texts by id. Blocks grow
-in number with spark.sql.shuffle.partitions, and their number adds to the 64 bits
-of hash, as it comes from a second hash of the same window.
+Flow. Documents are dealt to batches by a hash of id and text. A batch hashes all
+its windows and sends each block one packed row: window hashes, and bits for
+windows that a smaller document of the batch holds already, which need no answer.
+A window that very many documents share therefore reaches its block once a batch,
+not once a document. A block finds the least id of each hash and answers each
+batch with one packed row of bits and reference ids; the batch's texts, whose
+exchange is used again, are then parsed. Batches and blocks grow in number with
+spark.sql.shuffle.partitions, and the number of blocks adds to the 64 bits of
+hash, as blocks come from a second hash of the same window.
 
 Defined results: null texts have no words. Rows with the same id are not smaller
 than each other, so repeated rows keep their words and each have a row. A row
@@ -36,9 +37,10 @@ from pyspark.sql import functions as F
 from marlstone.llm.common import load
 
 WIDTH = 13
-#: Windows that are hashed together.
-BATCH_WINDOWS = 1 << 20
-_ANSWER = "doc_id bigint, mark bigint, block int, held binary, sources binary"
+#: Batches for each shuffle partition.
+BATCHES = 3
+_MESSAGE = "block int, batch int, ids binary, marks binary, counts binary, held binary, hashes binary, sources binary"
+_ANSWER = "batch int, block int, ids binary, marks binary, counts binary, held binary, sources binary"
 
 
 @dataclass
@@ -115,75 +117,82 @@ def _pack(batch: list, blocks: int) -> Iterator[tuple]:
             yield b, ids[docs], marks[docs], counts.astype(np.uint32), np.packbits(held), hashes[at[~held]], source[at[held]]
 
 
-def _messages(width: int, blocks: int):
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list = []
-        n = 0
+def _table(rows: list[tuple], schema: str) -> pa.Table:
+    """Rows of ints and packed arrays."""
+    names, kinds = zip(*(c.split(" ") for c in schema.split(", ")), strict=True)
+    cols = list(zip(*rows, strict=True)) or [()] * len(names)
+    return pa.table([pa.array(c, pa.binary() if k == "binary" else pa.int32()) for c, k in zip(cols, kinds, strict=True)], names=list(names))
 
-        def out() -> pa.RecordBatch:
-            rows = [(b, *(x.tobytes() for x in rest)) for b, *rest in _pack(waiting, blocks)]
-            cols = list(zip(*rows, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["block", "ids", "marks", "counts", "held", "hashes", "sources"])
 
-        for batch in batches:
-            for name, mark, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+def _messages(width: int, blocks: int):
+    def of(table: pa.Table) -> pa.Table:
+        own = []
+        for name, mark, text in zip(*(table.column(c).to_pylist() for c in ("doc_id", "mark", "text")), strict=True):
+            if name is not None:
                 _, hashes, where = windows(text, width, blocks)
                 if len(hashes):
-                    waiting.append((name, mark, hashes, where))
-                    n += len(hashes)
-                    if n >= BATCH_WINDOWS:
-                        yield out()
-                        waiting, n = [], 0
-        if waiting:
-            yield out()
+                    own.append((name, mark, hashes, where))
+        batch = table.column("batch")[0].as_py()
+        return _table([(b, batch, *(x.tobytes() for x in rest)) for b, *rest in (_pack(own, blocks) if own else ())], _MESSAGE)
 
     return of
 
 
 def _answers(table: pa.Table) -> pa.Table:
-    """A block: bits and reference ids for each document that has a window which a smaller one holds."""
+    """A block: for each batch, bits and reference ids of its documents that have a window which a smaller one holds."""
     got = table.to_pydict()
     read = lambda name, kind: [np.frombuffer(x, kind) for x in got[name]]
-    counts = read("counts", np.uint32)
-    held = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=int(c.sum())) for b, c in zip(got["held"], counts, strict=True)]).astype(bool)
-    counts = np.concatenate(counts).astype(np.int64)
-    ids, marks = (np.concatenate(read(k, np.int64)) for k in ("ids", "marks"))
-    owner = np.repeat(np.arange(len(ids)), counts)
-    source = np.empty(len(held), np.int64)
-    source[held] = np.concatenate(read("sources", np.int64))
-    asked = np.flatnonzero(~held)
-    if len(asked):
-        h = np.concatenate(read("hashes", np.uint64))
+    ids, marks, counts, hashes = (read(*x) for x in (("ids", np.int64), ("marks", np.int64), ("counts", np.uint32), ("hashes", np.uint64)))
+    sources = read("sources", np.int64)
+    held = [np.unpackbits(np.frombuffer(b, np.uint8), count=int(c.sum())).astype(bool) for b, c in zip(got["held"], counts, strict=True)]
+    owner = [np.repeat(i, c)[~h] for i, c, h in zip(ids, counts, held, strict=True)]
+    h, own = np.concatenate(hashes), np.concatenate(owner)
+    least = np.empty(len(h), np.int64)
+    if len(h):
         by_hash = np.argsort(h)
         s = h[by_hash]
         new = np.concatenate([[True], s[1:] != s[:-1]])
-        own = ids[owner[asked]]
-        least = np.empty(len(h), np.int64)
         least[by_hash] = np.minimum.reduceat(own[by_hash], np.flatnonzero(new))[np.cumsum(new) - 1]
-        source[asked] = least
-        held[asked] = least < own
-    starts = np.cumsum(counts) - counts
-    some = np.flatnonzero(np.add.reduceat(held, starts) > 0) if len(starts) else np.zeros(0, np.int64)
-    bits, refs = [], []
-    for k in some.tolist():
-        a, b = starts[k], starts[k] + counts[k]
-        bits.append(np.packbits(held[a:b]).tobytes())
-        refs.append(source[a:b][held[a:b]].tobytes())
-    block = pa.array([got["block"][0]] * len(some), pa.int32())
-    return pa.Table.from_arrays([pa.array(ids[some]), pa.array(marks[some]), block, pa.array(bits, pa.binary()), pa.array(refs, pa.binary())], ["doc_id", "mark", "block", "held", "sources"])
-
-
-def factors(n_windows: int, where: np.ndarray, answers: list[dict], blocks: int, width: int) -> tuple[list[dict], np.ndarray]:
+    rows, at = [], 0
+    for k, bits in enumerate(held):
+        n = len(hashes[k])
+        source = np.empty(len(bits), np.int64)
+        source[bits] = sources[k]
+        source[~bits] = least[at : at + n]
+        bits[~bits] = least[at : at + n] < own[at : at + n]
+        at += n
+        each = counts[k].astype(np.int64)
+        some = np.add.reduceat(bits, np.cumsum(each) - each) > 0
+        if some.any():
+            kept = np.repeat(some, each)
+            rows.append((got["batch"][k], got["block"][k], ids[k][some].tobytes(), marks[k][some].tobytes(), counts[k][some].tobytes(), np.packbits(bits[kept]).tobytes(), source[bits].tobytes()))
+    return _table(rows, _ANSWER)
+
+
+def _by_document(table: pa.Table) -> dict[tuple[int, int], list[tuple]]:
+    """(block, bits, sources) of each document of a batch, by id and mark."""
+    out: dict[tuple[int, int], list[tuple]] = {}
+    for row in table.to_pylist():
+        ids, marks, counts = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["marks"], np.int64), np.frombuffer(row["counts"], np.uint32).astype(np.int64)
+        bits = np.unpackbits(np.frombuffer(row["held"], np.uint8), count=int(counts.sum())).astype(bool)
+        sources = np.frombuffer(row["sources"], np.int64)
+        ends = np.cumsum(counts)
+        said = np.concatenate([[0], np.cumsum(bits)])
+        for i, m, a, b in zip(ids.tolist(), marks.tolist(), (ends - counts).tolist(), ends.tolist(), strict=True):
+            out.setdefault((i, m), []).append((row["block"], bits[a:b], sources[said[a] : said[b]]))
+    return out
+
+
+def factors(n_windows: int, where: np.ndarray, answers: list[tuple], blocks: int, width: int) -> tuple[list[dict], np.ndarray]:
     """Greedy factors (start, end, source) in words, end exclusive, and the mask of covered words."""
     order = np.argsort(where, kind="stable")
     cuts = _cuts(where[order], blocks)
     source = np.zeros(n_windows, np.int64)
     held = np.zeros(n_windows, bool)
-    for a in answers:
-        at = order[cuts[a["block"]] : cuts[a["block"] + 1]]
-        at = at[np.unpackbits(np.frombuffer(a["held"], np.uint8), count=len(at)).astype(bool)]
+    for block, bits, sources in answers:
+        at = order[cuts[block] : cuts[block + 1]][bits]
         held[at] = True
-        source[at] = np.frombuffer(a["sources"], np.int64)
+        source[at] = sources
     at = np.flatnonzero(held)
     first = np.concatenate([[True], (np.diff(at) > 1) | (source[at[1:]] != source[at[:-1]])])
     last = np.append(np.flatnonzero(first)[1:] - 1, len(at) - 1)
@@ -199,33 +208,28 @@ _PARSED = "doc_id bigint, n_words bigint, n_removed bigint, kept_text string, fa
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, blocks: int | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text and factors of each row of docs."""
-    spark = docs.sparkSession
-    n_blocks = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_blocks = blocks or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
-    sent = texts.where(F.col("doc_id").isNotNull()).select("doc_id", "mark", "text").mapInArrow(
-        _messages(width, n_blocks), "block int, ids binary, marks binary, counts binary, held binary, hashes binary, sources binary"
-    )
-    answers = sent.groupBy("block").applyInArrow(_answers, _ANSWER)
-    by_doc = answers.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("block", "held", "sources")).alias("answers"))
-
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for name, text, answers in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                if answers:
-                    own, hashes, where = windows(text, width, n_blocks)
-                    spans, gone = factors(len(hashes), where, answers, n_blocks, width)
-                    kept = b" ".join(itertools.compress(own, (~gone).tolist()))
-                    rows.append((name, len(own), int(gone.sum()), kept, spans))
-                else:
-                    own = text.encode("utf-8", "surrogatepass").split()
-                    rows.append((name, len(own), 0, b" ".join(own), []))
-            cols = list(zip(*rows, strict=True)) or [()] * 5
-            kept_text = pa.array(cols[3], pa.binary()).cast(pa.string())
-            kinds = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("source", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), kept_text, pa.array(cols[4], kinds)], ["doc_id", "n_words", "n_removed", "kept_text", "factors"])
-
-    return texts.join(by_doc, ["doc_id", "mark"], "left").select("doc_id", "text", "answers").mapInArrow(parse, _PARSED)
+    dealt = texts.withColumn("batch", F.pmod(F.xxhash64("doc_id", "mark"), F.lit(BATCHES * n_blocks)).cast("int")).groupBy("batch")
+    answers = dealt.applyInArrow(_messages(width, n_blocks), _MESSAGE).groupBy("block").applyInArrow(_answers, _ANSWER)
+
+    def parse(own: pa.Table, answered: pa.Table) -> pa.Table:
+        known = _by_document(answered)
+        rows = []
+        for name, mark, text in zip(*(own.column(c).to_pylist() for c in ("doc_id", "mark", "text")), strict=True):
+            if got := known.get((name, mark)):
+                words, hashes, where = windows(text, width, n_blocks)
+                spans, gone = factors(len(hashes), where, got, n_blocks, width)
+                rows.append((name, len(words), int(gone.sum()), b" ".join(itertools.compress(words, (~gone).tolist())), spans))
+            else:
+                words = text.encode("utf-8", "surrogatepass").split()
+                rows.append((name, len(words), 0, b" ".join(words), []))
+        cols = list(zip(*rows, strict=True)) or [()] * 5
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("source", pa.int64())]))]
+        table = pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "n_words", "n_removed", "kept_text", "factors"])
+        return table.set_column(3, "kept_text", table.column("kept_text").cast(pa.string()))
+
+    return dealt.cogroup(answers.groupBy("batch")).applyInArrow(parse, _PARSED)
 
 
 def op5_relative_lempel_ziv(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,22 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words of every contract: runs of anything but the six ASCII white-space characters.
-WORD = r"[^\x20\x09-\x0D]+"
-
+from marlstone.functions.binding import let
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with value computed once.
+__all__ = ["WORD", "let", "load", "scratch", "words", "written"]
 
-    A column that stands inside a lambda is computed for each element of the
-    array; a lambda variable is not, so one-element transform() is a binding.
-    """
-    return F.transform(F.array(value), body)[0]
+#: Words of every contract: runs of anything but the six ASCII white-space characters.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def words(text: Column) -> Column:

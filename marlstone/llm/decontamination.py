@@ -2,14 +2,15 @@
 
 A seed is a fixed mask over consecutive tokens that ignores some positions, so a
 substituted token breaks only the seeds that read it. Seeds of the benchmark are
-indexed by hash; a document's seeds are tested in place against a bitmap of those
-hashes and only the few that pass are joined with the index. Each hit is verified
+indexed by hash; a document's seeds are tested in place against a table of the
+pairs of tokens that seeds begin with, then against a table of the hashes, and
+only the few that pass are joined with the index. Each hit is verified
 on the tokens themselves: the alignment is extended to both sides, a match adding
 one and a substitution taking two, to where its score is best; an overlap of
 enough matching tokens, nearly all of them equal, convicts.
 
 The benchmark is the query set: it is taken in blocks of at most BLOCK_SEEDS
-seeds, each with a bitmap and broadcast tables of bounded size, so documents are
+seeds, each with tables and broadcasts of bounded size, so documents are
 never shuffled. Everything is native columns.
 
 Defined results: tokens are runs of letters and digits, lowered; null texts have
@@ -29,6 +30,7 @@ from marlstone.llm.common import let, load, written
 #: Both masks span ten tokens and read seven or eight of them.
 MASKS = ("1101101111", "1111011011")
 SPAN = len(MASKS[0])
+assert all(len(m) == SPAN and m.startswith("11") for m in MASKS)
 #: Tokens to which an alignment is extended on each side.
 REACH = 64
 LEAST_MATCHED = 12
@@ -40,15 +42,41 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def seeds(own: Column) -> Column:
-    """Array of struct(at, mask, hash) of all seeds of an array of tokens."""
+def _places(own: Column) -> Column:
+    return F.when(F.size(own) < SPAN, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.greatest(F.size(own) - SPAN, F.lit(0))))
 
-    def of(h: Column) -> Column:
-        places = F.when(F.size(h) < SPAN, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.greatest(F.size(h) - SPAN, F.lit(0))))
-        each = lambda m: F.transform(places, lambda i: F.struct(i.alias("at"), F.lit(m).alias("mask"), F.xxhash64(F.lit(m), *[h[i + k] for k, c in enumerate(MASKS[m]) if c == "1"]).alias("hash")))
-        return F.concat(*map(each, range(len(MASKS))))
 
-    return let(F.transform(own, lambda t: F.xxhash64(t)), of)
+def _pair(own: Column, i: Column) -> Column:
+    """Hash of the two tokens that every mask reads first."""
+    return F.xxhash64(own[i], own[i + 1])
+
+
+def _seed(own: Column, i: Column, mask: int) -> Column:
+    return F.xxhash64(F.lit(mask), *[own[i + k] for k, c in enumerate(MASKS[mask]) if c == "1"])
+
+
+def seeds(own: Column, places: Column | None = None, held: Column | None = None) -> Column:
+    """Array of struct(at, mask, hash) of the seeds of an array of tokens. held: only those whose hash is in this table."""
+    where = _places(own) if places is None else places
+    good = lambda m: where if held is None else F.filter(where, lambda i: _in(held, _seed(own, i, m)))
+    each = lambda m: F.transform(good(m), lambda i: F.struct(i.alias("at"), F.lit(m).alias("mask"), _seed(own, i, m).alias("hash")))
+    return F.concat(*map(each, range(len(MASKS))))
+
+
+def _in(table: Column, h: Column) -> Column:
+    """table: array of booleans whose size is a power of two. True if both places of a hash are set."""
+    at = lambda x: F.get(table, x.bitwiseAND(F.size(table) - 1).cast("int"))
+    return at(h) & at(F.shiftrightunsigned(h, 32))
+
+
+def _table(hashes: DataFrame) -> DataFrame:
+    """One row, one array of booleans: true at the two places of each hash, of 64 for each hash."""
+    own = written(hashes.distinct(), "benchmark-hashes")
+    size = 1 << max(12, int(own.count() * 64 - 1).bit_length())
+    places = F.array(F.col("hash"), F.shiftrightunsigned("hash", 32))
+    hit = own.select(F.explode(places).alias("h")).select(F.col("h").bitwiseAND(F.lit(size - 1)).alias("at")).distinct().withColumn("hit", F.lit(True))
+    whole = own.sparkSession.range(size).withColumnRenamed("id", "at").join(hit, "at", "left").select("at", F.coalesce("hit", F.lit(False)).alias("hit"))
+    return written(whole.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "hit"))), lambda x: x["hit"]).alias("hits")), "benchmark-table")
 
 
 def _extended(doc: Column, item: Column, at: Column, item_at: Column, step: int) -> Column:
@@ -83,33 +111,35 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> list[DataFram
 
 def _hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Verified overlaps of docs (doc_id, text) with one block of items."""
-    index = written(items.select("item_id", F.inline(seeds(F.col("item")))), "benchmark-seeds").withColumnRenamed("at", "item_at")
-    bits = 1 << max(12, int(index.count() * 32).bit_length())
-    slot = lambda h: F.pmod(h, F.lit(bits))
-    lanes = index.select(slot(F.col("hash")).alias("s")).groupBy(F.shiftright("s", 6).alias("lane")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("s").bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
-    whole = items.sparkSession.range(bits // 64).withColumnRenamed("id", "lane").join(lanes, "lane", "left").select("lane", F.coalesce("bits", F.lit(0)).alias("bits"))
-    bitmap = whole.agg(F.array_sort(F.collect_list(F.struct("lane", "bits"))).alias("a")).select(F.transform("a", lambda x: x["bits"]).alias("bitmap"))
-    lookup = written(bitmap, "benchmark-bitmap").scalar()
+    index = written(items.select("item_id", F.inline(let(F.col("item"), lambda w: seeds(w)))), "benchmark-seeds").withColumnRenamed("at", "item_at")
+    heads = items.select(F.explode(let(F.col("item"), lambda w: F.transform(_places(w), lambda i: _pair(w, i)))).alias("hash"))
+    pairs, hashes = _table(heads).scalar(), _table(index.select("hash")).scalar()
 
     def passing(w: Column) -> Column:
-        held = lambda x: let(slot(x["hash"]), lambda s: F.call_function("getbit", F.col("bitmap")[F.shiftright(s, 6).cast("int")], s.bitwiseAND(F.lit(63)).cast("int")) == 1)
-        return F.struct(w.alias("doc"), F.filter(seeds(w), held).alias("seeds"))
-
-    found = docs.select("doc_id", "text", lookup.alias("bitmap")).select("doc_id", let(tokens(F.col("text")), passing).alias("q")).where(F.size("q.seeds") > 0).select("doc_id", F.col("q.doc").alias("doc"), F.explode("q.seeds").alias("seed"))
-    met = found.join(F.broadcast(index), (F.col("seed.hash") == F.col("hash")) & (F.col("seed.mask") == F.col("mask"))).select("doc_id", "doc", F.col("seed.at").alias("at"), "item_id", "item_at", "mask")
+        # nearly all places fail on their first two tokens; a hit takes only the tokens that its extension can reach
+        likely = F.filter(_places(w), lambda i: _in(F.col("pairs"), _pair(w, i)))
+        start = lambda x: F.greatest(x["at"] - REACH, F.lit(0))
+        near = lambda x: F.struct((x["at"] - start(x)).alias("at"), x["mask"].alias("mask"), x["hash"].alias("hash"), F.slice(w, start(x) + 1, F.lit(SPAN + 2 * REACH)).alias("doc"))
+        return F.transform(let(likely, lambda p: seeds(w, p, F.col("hashes"))), near)
+
+    at = docs.select("doc_id", "text", pairs.alias("pairs"), hashes.alias("hashes"))
+    found = at.select("doc_id", F.explode(let(tokens(F.col("text")), passing)).alias("seed")).select("doc_id", "seed.at", F.col("seed.mask").alias("m"), F.col("seed.hash").alias("h"), "seed.doc")
+    met = found.join(F.broadcast(index), (F.col("h") == F.col("hash")) & (F.col("m") == F.col("mask"))).select("doc_id", "doc", "at", "item_id", "item_at")
     aligned = met.join(F.broadcast(items.withColumnRenamed("item_id", "own")), F.col("item_id").eqNullSafe(F.col("own")))
     core = reduce(lambda a, b: a + b, [F.coalesce(F.get("doc", F.col("at") + k) == F.get("item", F.col("item_at") + k), F.lit(False)).cast("int") for k in range(SPAN)])
     left, right = (_extended(F.col("doc"), F.col("item"), a, b, step) for a, b, step in ((F.col("at"), F.col("item_at"), -1), (F.col("at") + SPAN - 1, F.col("item_at") + SPAN - 1, 1)))
-    overlap = aligned.select("doc_id", "item_id", left.alias("l"), right.alias("r"), core.alias("core")).select("doc_id", "item_id", (F.col("core") + F.col("l.matched") + F.col("r.matched")).alias("matched_words"), (F.lit(SPAN) + F.col("l.n") + F.col("r.n")).alias("overlap_words"))
+    # numbering the hits keeps the filter from being pushed down, where alignments would be extended twice
+    extended = aligned.select("doc_id", "item_id", left.alias("l"), right.alias("r"), core.alias("core"), F.monotonically_increasing_id().alias("hit"))
+    overlap = extended.select("hit", "doc_id", "item_id", (F.col("core") + F.col("l.matched") + F.col("r.matched")).alias("matched_words"), (F.lit(SPAN) + F.col("l.n") + F.col("r.n")).alias("overlap_words"))
     return overlap.where((F.col("matched_words") >= LEAST_MATCHED) & (F.col("matched_words") >= LEAST_SHARE * F.col("overlap_words")))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(doc_id, item_id, matched_words, overlap_words) of documents that hold a good part of a benchmark item."""
+    """(doc_id, item_id, matched_words, overlap_words, n_hits) of documents that hold a good part of a benchmark item."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     hits = reduce(DataFrame.unionByName, [_hits(own, items) for items in _blocks(benchmark, item_col, item_text_col)])
-    best = hits.groupBy("doc_id", "item_id").agg(F.max(F.struct("matched_words", F.negative("overlap_words").alias("less"))).alias("b"))
-    return best.select("doc_id", "item_id", F.col("b.matched_words").cast("bigint").alias("matched_words"), F.negative("b.less").cast("bigint").alias("overlap_words"))
+    best = hits.groupBy("doc_id", "item_id").agg(F.max(F.struct("matched_words", F.negative("overlap_words").alias("less"))).alias("b"), F.count("hit").alias("n_hits"))
+    return best.select("doc_id", "item_id", F.col("b.matched_words").cast("bigint").alias("matched_words"), F.negative("b.less").cast("bigint").alias("overlap_words"), "n_hits")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 1_000_000) -> DataFrame:
@@ -134,7 +164,7 @@ dp AS (SELECT doc_id, w, unnest(range(1, len(w) - {SPAN - 2})) AS i FROM d WHERE
 bp AS (SELECT item_id, t, unnest(range(1, len(t) - {SPAN - 2})) AS i FROM b WHERE len(t) >= {SPAN}),
 ds AS ({' UNION ALL '.join(f"SELECT doc_id, i, {m} AS mask, {_sql_mask(m, 'w')} AS seed FROM dp" for m in range(len(MASKS)))}),
 bs AS ({' UNION ALL '.join(f"SELECT item_id, i, {m} AS mask, {_sql_mask(m, 't')} AS seed FROM bp" for m in range(len(MASKS)))}),
-h AS (SELECT DISTINCT ds.doc_id, bs.item_id, ds.i AS dp0, bs.i AS ip FROM ds JOIN bs USING (mask, seed)),
+h AS (SELECT ds.doc_id, bs.item_id, ds.i AS dp0, bs.i AS ip FROM ds JOIN bs USING (mask, seed)),
 a AS (SELECT row_number() OVER () AS hit, h.*, w, t FROM h JOIN d USING (doc_id) JOIN b USING (item_id)),
 k AS (SELECT *, unnest(range(1, least({REACH}, len(t)) + 1)) AS k FROM a),
 s AS (
@@ -152,6 +182,6 @@ o AS (
          {SPAN} + coalesce(ext.n, 0) AS overlap_words
   FROM a LEFT JOIN ext USING (hit)),
 g AS (SELECT * FROM o WHERE matched_words >= {LEAST_MATCHED} AND matched_words >= {LEAST_SHARE} * overlap_words)
-SELECT doc_id, item_id, matched_words::BIGINT AS matched_words, overlap_words::BIGINT AS overlap_words
+SELECT doc_id, item_id, matched_words::BIGINT AS matched_words, overlap_words::BIGINT AS overlap_words, count(*) OVER (PARTITION BY doc_id, item_id) AS n_hits
 FROM g QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched_words DESC, overlap_words) = 1
 """

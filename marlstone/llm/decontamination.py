@@ -55,7 +55,10 @@ def _seed(own: Column, i: Column, mask: int) -> Column:
     return F.xxhash64(F.lit(mask), *[own[i + k] for k, c in enumerate(MASKS[mask]) if c == "1"])
 
 
-def seeds(own: Column, places: Column | None = None, held: Column | None = None) -> Column:
+Table = tuple[Column, int]
+
+
+def seeds(own: Column, places: Column | None = None, held: Table | None = None) -> Column:
     """Array of struct(at, mask, hash) of the seeds of an array of tokens. held: only those whose hash is in this table."""
     where = _places(own) if places is None else places
     good = lambda m: where if held is None else F.filter(where, lambda i: _in(held, _seed(own, i, m)))
@@ -63,20 +66,20 @@ def seeds(own: Column, places: Column | None = None, held: Column | None = None)
     return F.concat(*map(each, range(len(MASKS))))
 
 
-def _in(table: Column, h: Column) -> Column:
-    """table: array of booleans whose size is a power of two. True if both places of a hash are set."""
-    at = lambda x: F.get(table, x.bitwiseAND(F.size(table) - 1).cast("int"))
+def _in(table: Table, h: Column) -> Column:
+    """table: array of booleans and its size, a power of two. True if both places of a hash are set."""
+    at = lambda x: F.get(table[0], x.bitwiseAND(F.lit(table[1] - 1)).cast("int"))
     return at(h) & at(F.shiftrightunsigned(h, 32))
 
 
-def _table(hashes: DataFrame) -> DataFrame:
-    """One row, one array of booleans: true at the two places of each hash, of 64 for each hash."""
+def _table(hashes: DataFrame) -> tuple[DataFrame, int]:
+    """One row, one array of booleans: true at the two places of each hash, of 64 for each hash. And its size."""
     own = written(hashes.distinct(), "benchmark-hashes")
     size = 1 << max(12, int(own.count() * 64 - 1).bit_length())
     places = F.array(F.col("hash"), F.shiftrightunsigned("hash", 32))
     hit = own.select(F.explode(places).alias("h")).select(F.col("h").bitwiseAND(F.lit(size - 1)).alias("at")).distinct().withColumn("hit", F.lit(True))
     whole = own.sparkSession.range(size).withColumnRenamed("id", "at").join(hit, "at", "left").select("at", F.coalesce("hit", F.lit(False)).alias("hit"))
-    return written(whole.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "hit"))), lambda x: x["hit"]).alias("hits")), "benchmark-table")
+    return written(whole.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "hit"))), lambda x: x["hit"]).alias("hits")), "benchmark-table"), size
 
 
 def _extended(doc: Column, item: Column, at: Column, item_at: Column, step: int) -> Column:
@@ -113,24 +116,29 @@ def _hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Verified overlaps of docs (doc_id, text) with one block of items."""
     index = written(items.select("item_id", F.inline(let(F.col("item"), lambda w: seeds(w)))), "benchmark-seeds").withColumnRenamed("at", "item_at")
     heads = items.select(F.explode(let(F.col("item"), lambda w: F.transform(_places(w), lambda i: _pair(w, i)))).alias("hash"))
-    pairs, hashes = _table(heads).scalar(), _table(index.select("hash")).scalar()
+    (pairs, n_pairs), (hashes, n_hashes) = _table(heads), _table(index.select("hash"))
 
     def passing(w: Column) -> Column:
         # nearly all places fail on their first two tokens; a hit takes only the tokens that its extension can reach
-        likely = F.filter(_places(w), lambda i: _in(F.col("pairs"), _pair(w, i)))
+        likely = F.filter(_places(w), lambda i: _in((F.col("pairs"), n_pairs), _pair(w, i)))
         start = lambda x: F.greatest(x["at"] - REACH, F.lit(0))
-        near = lambda x: F.struct((x["at"] - start(x)).alias("at"), x["mask"].alias("mask"), x["hash"].alias("hash"), F.slice(w, start(x) + 1, F.lit(SPAN + 2 * REACH)).alias("doc"))
-        return F.transform(let(likely, lambda p: seeds(w, p, F.col("hashes"))), near)
-
-    at = docs.select("doc_id", "text", pairs.alias("pairs"), hashes.alias("hashes"))
-    found = at.select("doc_id", F.explode(let(tokens(F.col("text")), passing)).alias("seed")).select("doc_id", "seed.at", F.col("seed.mask").alias("m"), F.col("seed.hash").alias("h"), "seed.doc")
-    met = found.join(F.broadcast(index), (F.col("h") == F.col("hash")) & (F.col("m") == F.col("mask"))).select("doc_id", "doc", "at", "item_id", "item_at")
+        near = lambda x: F.struct(x["at"].alias("place"), (x["at"] - start(x)).alias("at"), x["mask"].alias("mask"), x["hash"].alias("hash"), F.slice(w, start(x) + 1, F.lit(SPAN + 2 * REACH)).alias("doc"))
+        return F.transform(let(likely, lambda p: seeds(w, p, (F.col("hashes"), n_hashes))), near)
+
+    at = docs.select("doc_id", "text", pairs.scalar().alias("pairs"), hashes.scalar().alias("hashes"))
+    found = at.select("doc_id", F.monotonically_increasing_id().alias("row"), let(tokens(F.col("text")), passing).alias("seeds")).select("doc_id", "row", F.explode("seeds").alias("seed"))
+    found = found.select("doc_id", "row", "seed.place", "seed.at", F.col("seed.mask").alias("m"), F.col("seed.hash").alias("h"), "seed.doc")
+    hits = found.join(F.broadcast(index), (F.col("h") == F.col("hash")) & (F.col("m") == F.col("mask")))
+    # hits on one diagonal are one alignment, extended from its first
+    first = F.min(F.struct("place", "at", "item_at", "doc")).alias("first")
+    met = hits.groupBy("row", "doc_id", "item_id", (F.col("place") - F.col("item_at")).alias("diagonal")).agg(first, F.count(F.lit(1)).alias("n_seeds"))
+    met = met.select("doc_id", "item_id", "first.at", "first.item_at", "first.doc", "n_seeds")
     aligned = met.join(F.broadcast(items.withColumnRenamed("item_id", "own")), F.col("item_id").eqNullSafe(F.col("own")))
     core = reduce(lambda a, b: a + b, [F.coalesce(F.get("doc", F.col("at") + k) == F.get("item", F.col("item_at") + k), F.lit(False)).cast("int") for k in range(SPAN)])
     left, right = (_extended(F.col("doc"), F.col("item"), a, b, step) for a, b, step in ((F.col("at"), F.col("item_at"), -1), (F.col("at") + SPAN - 1, F.col("item_at") + SPAN - 1, 1)))
     # numbering the hits keeps the filter from being pushed down, where alignments would be extended twice
-    extended = aligned.select("doc_id", "item_id", left.alias("l"), right.alias("r"), core.alias("core"), F.monotonically_increasing_id().alias("hit"))
-    overlap = extended.select("hit", "doc_id", "item_id", (F.col("core") + F.col("l.matched") + F.col("r.matched")).alias("matched_words"), (F.lit(SPAN) + F.col("l.n") + F.col("r.n")).alias("overlap_words"))
+    extended = aligned.select("doc_id", "item_id", left.alias("l"), right.alias("r"), core.alias("core"), "n_seeds", F.monotonically_increasing_id().alias("hit"))
+    overlap = extended.select("hit", "n_seeds", "doc_id", "item_id", (F.col("core") + F.col("l.matched") + F.col("r.matched")).alias("matched_words"), (F.lit(SPAN) + F.col("l.n") + F.col("r.n")).alias("overlap_words"))
     return overlap.where((F.col("matched_words") >= LEAST_MATCHED) & (F.col("matched_words") >= LEAST_SHARE * F.col("overlap_words")))
 
 
@@ -138,7 +146,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """(doc_id, item_id, matched_words, overlap_words, n_hits) of documents that hold a good part of a benchmark item."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     hits = reduce(DataFrame.unionByName, [_hits(own, items) for items in _blocks(benchmark, item_col, item_text_col)])
-    best = hits.groupBy("doc_id", "item_id").agg(F.max(F.struct("matched_words", F.negative("overlap_words").alias("less"))).alias("b"), F.count("hit").alias("n_hits"))
+    best = hits.groupBy("doc_id", "item_id").agg(F.max(F.struct("matched_words", F.negative("overlap_words").alias("less"))).alias("b"), F.sum(F.when(F.col("hit").isNotNull(), F.col("n_seeds"))).alias("n_hits"))
     return best.select("doc_id", "item_id", F.col("b.matched_words").cast("bigint").alias("matched_words"), F.negative("b.less").cast("bigint").alias("overlap_words"), "n_hits")
 
 
@@ -165,7 +173,8 @@ bp AS (SELECT item_id, t, unnest(range(1, len(t) - {SPAN - 2})) AS i FROM b WHER
 ds AS ({' UNION ALL '.join(f"SELECT doc_id, i, {m} AS mask, {_sql_mask(m, 'w')} AS seed FROM dp" for m in range(len(MASKS)))}),
 bs AS ({' UNION ALL '.join(f"SELECT item_id, i, {m} AS mask, {_sql_mask(m, 't')} AS seed FROM bp" for m in range(len(MASKS)))}),
 h AS (SELECT ds.doc_id, bs.item_id, ds.i AS dp0, bs.i AS ip FROM ds JOIN bs USING (mask, seed)),
-a AS (SELECT row_number() OVER () AS hit, h.*, w, t FROM h JOIN d USING (doc_id) JOIN b USING (item_id)),
+f AS (SELECT doc_id, item_id, dp0, ip, count(*) OVER g AS n_seeds FROM h WINDOW g AS (PARTITION BY doc_id, item_id, dp0 - ip) QUALIFY row_number() OVER (PARTITION BY doc_id, item_id, dp0 - ip ORDER BY dp0) = 1),
+a AS (SELECT row_number() OVER () AS hit, f.*, w, t FROM f JOIN d USING (doc_id) JOIN b USING (item_id)),
 k AS (SELECT *, unnest(range(1, least({REACH}, len(t)) + 1)) AS k FROM a),
 s AS (
   SELECT hit, k, 1 AS side, coalesce(dp0 + {SPAN - 1} + k <= len(w) AND ip + {SPAN - 1} + k <= len(t) AND w[dp0 + {SPAN - 1} + k] = t[ip + {SPAN - 1} + k], false)::INT AS same FROM k
@@ -177,11 +186,11 @@ best AS (
   QUALIFY row_number() OVER (PARTITION BY hit, side ORDER BY score DESC, k) = 1),
 ext AS (SELECT hit, sum(k) AS n, sum(matched) AS matched FROM best GROUP BY hit),
 o AS (
-  SELECT doc_id, item_id,
+  SELECT doc_id, item_id, n_seeds,
          len(list_filter(range(0, {SPAN}), lambda x: w[dp0 + x] = t[ip + x])) + coalesce(ext.matched, 0) AS matched_words,
          {SPAN} + coalesce(ext.n, 0) AS overlap_words
   FROM a LEFT JOIN ext USING (hit)),
 g AS (SELECT * FROM o WHERE matched_words >= {LEAST_MATCHED} AND matched_words >= {LEAST_SHARE} * overlap_words)
-SELECT doc_id, item_id, matched_words::BIGINT AS matched_words, overlap_words::BIGINT AS overlap_words, count(*) OVER (PARTITION BY doc_id, item_id) AS n_hits
+SELECT doc_id, item_id, matched_words::BIGINT AS matched_words, overlap_words::BIGINT AS overlap_words, (sum(n_seeds) OVER (PARTITION BY doc_id, item_id))::BIGINT AS n_hits
 FROM g QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched_words DESC, overlap_words) = 1
 """

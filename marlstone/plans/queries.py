@@ -572,14 +572,14 @@ def assemble_context(spark, sf_dir):
 
 
 @query("""
-SELECT user_id::VARCHAR AS tenant_id, ts::DATE AS period_day, metric, sum(quantity) AS quantity, round(sum(cost), 6) AS cost FROM (
-  SELECT user_id, ts, 'INPUT_TOKENS' AS metric, floor(value)::DOUBLE AS quantity, value / 1e6 AS cost FROM events
+SELECT user_id::VARCHAR AS tenant_id, ts::DATE::VARCHAR AS period_day, metric, sum(quantity) AS quantity, round(sum(cost), 6) AS cost FROM (
+  SELECT user_id, ts, 'INPUT_TOKENS' AS metric, floor(value)::DOUBLE AS quantity, floor(value) / 4 AS cost FROM events
   UNION ALL SELECT user_id, ts, 'OUTPUT_TOKENS', (event_id % 3)::DOUBLE, 0 FROM events
   UNION ALL SELECT user_id, ts, 'GENERATIONS', 1, 0 FROM events) WHERE quantity <> 0 GROUP BY ALL""")
 def usage_rollup(spark, sf_dir):
     """E9."""
-    at = load(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("tenant_id"), F.col("ts").alias("at"), F.floor("value").alias("input_tokens"), (F.col("event_id") % 3).alias("output_tokens"), F.lit(1).alias("generations"), (F.col("value") / F.lit(1e6)).alias("cost"))
-    return events.usage_rollup(events.usage_entries(at)).withColumn("cost", F.round("cost", 6))
+    at = load(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("tenant_id"), F.col("ts").alias("at"), F.floor("value").alias("input_tokens"), (F.col("event_id") % 3).alias("output_tokens"), F.lit(1).alias("generations"), (F.floor("value") / 4).alias("cost"))
+    return events.usage_rollup(events.usage_entries(at)).withColumns({"cost": F.round("cost", 6), "period_day": F.col("period_day").cast("string")})
 
 
 def _outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -740,10 +740,10 @@ def tenant_rows(spark, sf_dir):
 
 
 @query("""
-WITH d AS (SELECT * FROM (VALUES ('a', NULL, 60, 'g1', 2), ('a', NULL, 30, 'g2', 1), ('b', NULL, 10, 'g3', 1), ('b', '7', 50, 't1', 2), ('b', '7', 40, 't2', 1)) v(key, owner, traffic, version_id, at)),
+WITH d AS (SELECT * FROM (VALUES ('a', NULL, 60, 'g1', 2), ('a', NULL, 30, 'g2', 1), ('b', NULL, 10, 'g3', 1), ('b', '7', 50, 't1', 2), ('b', '7', 40, 't2', 1)) v(key, owner, traffic, version_id, deployed)),
 r AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'a' ELSE 'b' END AS key, user_id::VARCHAR AS tenant, event_id % 100 AS roll FROM events),
 j AS (SELECT *, bool_or(owner IS NOT NULL) OVER (PARTITION BY event_id) AS scoped FROM r JOIN d USING (key) WHERE owner IS NULL OR owner = tenant),
-p AS (SELECT *, sum(traffic) OVER w AS upto, row_number() OVER w AS n FROM j WHERE NOT scoped OR owner IS NOT NULL WINDOW w AS (PARTITION BY event_id ORDER BY at DESC, version_id ROWS UNBOUNDED PRECEDING))
+p AS (SELECT *, sum(traffic) OVER w AS upto, row_number() OVER w AS n FROM j WHERE NOT scoped OR owner IS NOT NULL WINDOW w AS (PARTITION BY event_id ORDER BY deployed DESC, version_id ROWS UNBOUNDED PRECEDING))
 SELECT event_id AS request_id, coalesce(min_by(version_id, n) FILTER (WHERE roll < upto), max_by(version_id, n)) AS version_id FROM p GROUP BY event_id""")
 def prompt_pick(spark, sf_dir):
     """Events stand for requests."""

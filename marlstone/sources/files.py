@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import text as tx
 from marlstone.operators.convert import converter_for, extension_of
+from marlstone.operators.tables import written
 
 #: Native types and what they are exported as; types that are downloaded; limits.
 EXPORTS = {"document": "text/markdown", "spreadsheet": "text/csv", "presentation": "text/plain"}
@@ -30,7 +31,9 @@ def drive_listing(files: DataFrame, roots: list[str], seen: DataFrame, max_depth
     level = files.sparkSession.createDataFrame([(r,) for r in roots], "folder string")
     reached = level
     for _ in range(max_depth):
-        level = folders.join(level, folders["parent_id"] == level["folder"]).select(F.col("id").alias("folder")).join(reached, "folder", "left_anti").distinct()
+        level = written(folders.join(level, folders["parent_id"] == level["folder"]).select(F.col("id").alias("folder")).join(reached, "folder", "left_anti").distinct(), "drive-folders")
+        if level.isEmpty():
+            break
         reached = reached.unionByName(level)
     own = files.join(reached.withColumnRenamed("folder", "parent_id"), "parent_id", "left_semi").withColumn("plan", drive_plan(F.col("mime_type")))
     own = own.where(F.col("plan").isNotNull() & (F.coalesce("size", F.lit(0)) <= MAX_BYTES))

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as tx
+from marlstone.operators.tables import written
 
 USER_AGENT = "marlstone-crawler/1.0"
 MAX_PAGE_BYTES = 5 * 1024 * 1024
@@ -151,12 +152,15 @@ def crawl(pages: DataFrame, config: WebConfig, seen: DataFrame, robots: DataFram
     own = pages.where(origin.isin(*origins)).where(matches_patterns(F.col("url"), config.include, config.exclude))
     if config.respect_robots and robots is not None:
         own = own.withColumn("origin", origin).join(F.broadcast(robots), "origin", "left").where(allowed(F.regexp_replace(F.regexp_replace("url", "^https?://[^/]+", ""), r"\?.*$", ""), F.col("rules"))).drop("origin", "rules")
-    edges = links(own).select("url", "link").cache()
+    edges = written(links(own).select("url", "link"), "crawl-links")
     reached = spark.createDataFrame([(canonical(u), 0) for u in config.start_urls], "url string, depth int").distinct().join(own.select("url"), "url", "left_semi")
     frontier = reached
     for depth in range(1, config.max_depth + 1):
         found = edges.join(frontier.select("url"), "url").select(F.col("link").alias("url")).distinct()
-        frontier = found.join(own.select("url"), "url", "left_semi").join(reached.select("url"), "url", "left_anti").withColumn("depth", F.lit(depth))
+        # written, as each depth would otherwise repeat the plans of all before it
+        frontier = written(found.join(own.select("url"), "url", "left_semi").join(reached.select("url"), "url", "left_anti").withColumn("depth", F.lit(depth)), "crawl-frontier")
+        if frontier.isEmpty():
+            break
         reached = reached.unionByName(frontier)
     near = reached.withColumn("n", F.row_number().over(Window.orderBy("depth", "url"))).where(F.col("n") <= config.max_pages)
     at = near.join(own, "url").withColumn("checksum", F.sha2("html", 256)).join(seen.select("url", F.col("checksum").alias("known")), "url", "left")

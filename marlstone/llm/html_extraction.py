@@ -29,6 +29,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marlstone.llm.common import load
 
@@ -254,7 +255,7 @@ def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("
     """keep columns, text and n_chars of each row of pages."""
     own = pages.select(*[F.col(c) for c in keep], F.col(html_col).alias("html"))
     names = [*keep, "text", "n_chars"]
-    schema = own.drop("html").schema.add("text", "string").add("n_chars", "bigint")
+    schema = own.drop("html").schema.add("text", T.StringType()).add("n_chars", T.LongType())
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -674,7 +674,7 @@ m AS (
 @query(f"""{_EVAL_SQL}
 SELECT total, a AS answerable, u AS unanswerable, f AS forbidden, 1.0::DOUBLE AS recall_at_k, a AS recall_cases, (a / (2 * a))::DOUBLE AS precision, a AS precision_cases, wrong / checked AS wrong_answer_rate,
        abstained / u AS correct_abstention, (u - abstained) / u AS hallucination_rate, silent / a AS over_abstention, forbidden AS forbidden_violations, bad / total AS grounding_failure_rate,
-       (total - misread) / total AS follow_up_resolution, total AS follow_up_cases, p50::DOUBLE AS latency_p50, p95::DOUBLE AS latency_p95, total * 0.5 AS total_cost FROM m""")
+       (total - misread) / total AS follow_up_resolution, total AS follow_up_cases, p50::DOUBLE AS latency_p50, p95::DOUBLE AS latency_p95, (total * 0.5)::DOUBLE AS total_cost FROM m""")
 def eval_metrics(spark, sf_dir):
     """M1 to M9."""
     return evaluation.metrics(*_evaluated(spark, sf_dir)).drop("wrong_answers", "follow_up_failures")

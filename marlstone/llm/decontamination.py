@@ -7,7 +7,9 @@ pairs of tokens that seeds begin with, then against a table of the hashes, and
 only the few that pass are joined with the index. Each hit is verified
 on the tokens themselves: the alignment is extended to both sides, a match adding
 one and a substitution taking two, to where its score is best; an overlap of
-enough matching tokens, nearly all of them equal, convicts.
+enough matching tokens, nearly all of them equal, convicts. Hits on one diagonal
+that follow each other without a gap are one run; each run is extended from its
+first hit, and of a diagonal the first run that convicts is reported.
 
 The benchmark is the query set: it is taken in blocks of at most BLOCK_SEEDS
 seeds, each with tables and broadcasts of bounded size, so documents are
@@ -66,6 +68,11 @@ def seeds(own: Column, places: Column | None = None, held: Table | None = None)
     return F.concat(*map(each, range(len(MASKS))))
 
 
+def _before(own: Column, i: Column) -> list[Column]:
+    """Hashes p0, p1, ... of the seeds one place before i; null at the first place."""
+    return [F.when(i > 0, _seed(own, F.greatest(i - 1, F.lit(0)), m)).alias(f"p{m}") for m in range(len(MASKS))]
+
+
 def _in(table: Table, h: Column) -> Column:
     """table: array of booleans and its size, a power of two. True if both places of a hash are set."""
     at = lambda x: F.get(table[0], x.bitwiseAND(F.lit(table[1] - 1)).cast("int"))
@@ -114,7 +121,8 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> list[DataFram
 
 def _hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Verified overlaps of docs (doc_id, text) with one block of items."""
-    index = written(items.select("item_id", F.inline(let(F.col("item"), lambda w: seeds(w)))), "benchmark-seeds").withColumnRenamed("at", "item_at")
+    known = lambda w: F.transform(seeds(w), lambda x: F.struct(x["at"].alias("item_at"), x["mask"].alias("mask"), x["hash"].alias("hash"), *[p.alias(f"item_p{m}") for m, p in enumerate(_before(w, x["at"]))]))
+    index = written(items.select("item_id", F.inline(let(F.col("item"), known))), "benchmark-seeds")
     heads = items.select(F.explode(let(F.col("item"), lambda w: F.transform(_places(w), lambda i: _pair(w, i)))).alias("hash"))
     (pairs, n_pairs), (hashes, n_hashes) = _table(heads), _table(index.select("hash"))
 
@@ -122,24 +130,27 @@ def _hits(docs: DataFrame, items: DataFrame) -> DataFrame:
         # nearly all places fail on their first two tokens; a hit takes only the tokens that its extension can reach
         likely = F.filter(_places(w), lambda i: _in((F.col("pairs"), n_pairs), _pair(w, i)))
         start = lambda x: F.greatest(x["at"] - REACH, F.lit(0))
-        near = lambda x: F.struct(x["at"].alias("place"), (x["at"] - start(x)).alias("at"), x["mask"].alias("mask"), x["hash"].alias("hash"), F.slice(w, start(x) + 1, F.lit(SPAN + 2 * REACH)).alias("doc"))
+        near = lambda x: F.struct(x["at"].alias("place"), (x["at"] - start(x)).alias("at"), x["mask"].alias("mask"), x["hash"].alias("hash"), F.slice(w, start(x) + 1, F.lit(SPAN + 2 * REACH)).alias("doc"), *_before(w, x["at"]))
         return F.transform(let(likely, lambda p: seeds(w, p, (F.col("hashes"), n_hashes))), near)
 
     at = docs.select("doc_id", "text", pairs.scalar().alias("pairs"), hashes.scalar().alias("hashes"))
     found = at.select("doc_id", F.monotonically_increasing_id().alias("row"), let(tokens(F.col("text")), passing).alias("seeds")).select("doc_id", "row", F.explode("seeds").alias("seed"))
-    found = found.select("doc_id", "row", "seed.place", "seed.at", F.col("seed.mask").alias("m"), F.col("seed.hash").alias("h"), "seed.doc")
+    found = found.select("doc_id", "row", "seed.place", "seed.at", F.col("seed.mask").alias("m"), F.col("seed.hash").alias("h"), "seed.doc", *[f"seed.p{m}" for m in range(len(MASKS))])
     hits = found.join(F.broadcast(index), (F.col("h") == F.col("hash")) & (F.col("m") == F.col("mask")))
-    # hits on one diagonal are one alignment, extended from its first
-    first = F.min(F.struct("place", "at", "item_at", "doc")).alias("first")
+    # a hit whose predecessor on the diagonal is no hit starts a run, which is one alignment, extended from there
+    follows = reduce(lambda a, b: a | b, [F.coalesce(F.col(f"p{m}") == F.col(f"item_p{m}"), F.lit(False)) for m in range(len(MASKS))])
+    diagonal = ["row", "doc_id", "item_id", "diagonal"]
+    first = F.collect_set(F.when(~follows, F.struct("place", "at", "item_at", "doc"))).alias("runs")
     met = hits.groupBy("row", "doc_id", "item_id", (F.col("place") - F.col("item_at")).alias("diagonal")).agg(first, F.count(F.lit(1)).alias("n_seeds"))
-    met = met.select("doc_id", "item_id", "first.at", "first.item_at", "first.doc", "n_seeds")
+    met = met.select(*diagonal, "n_seeds", F.explode("runs").alias("run")).select(*diagonal, "n_seeds", "run.place", "run.at", "run.item_at", "run.doc")
     aligned = met.join(F.broadcast(items.withColumnRenamed("item_id", "own")), F.col("item_id").eqNullSafe(F.col("own")))
     core = reduce(lambda a, b: a + b, [F.coalesce(F.get("doc", F.col("at") + k) == F.get("item", F.col("item_at") + k), F.lit(False)).cast("int") for k in range(SPAN)])
     left, right = (_extended(F.col("doc"), F.col("item"), a, b, step) for a, b, step in ((F.col("at"), F.col("item_at"), -1), (F.col("at") + SPAN - 1, F.col("item_at") + SPAN - 1, 1)))
     # numbering the hits keeps the filter from being pushed down, where alignments would be extended twice
-    extended = aligned.select("doc_id", "item_id", left.alias("l"), right.alias("r"), core.alias("core"), "n_seeds", F.monotonically_increasing_id().alias("hit"))
-    overlap = extended.select("hit", "n_seeds", "doc_id", "item_id", (F.col("core") + F.col("l.matched") + F.col("r.matched")).alias("matched_words"), (F.lit(SPAN) + F.col("l.n") + F.col("r.n")).alias("overlap_words"))
-    return overlap.where((F.col("matched_words") >= LEAST_MATCHED) & (F.col("matched_words") >= LEAST_SHARE * F.col("overlap_words")))
+    extended = aligned.select(*diagonal, "place", left.alias("l"), right.alias("r"), core.alias("core"), "n_seeds", F.monotonically_increasing_id().alias("hit"))
+    overlap = extended.select("hit", "n_seeds", *diagonal, "place", (F.col("core") + F.col("l.matched") + F.col("r.matched")).alias("matched_words"), (F.lit(SPAN) + F.col("l.n") + F.col("r.n")).alias("overlap_words"))
+    convicting = overlap.where((F.col("matched_words") >= LEAST_MATCHED) & (F.col("matched_words") >= LEAST_SHARE * F.col("overlap_words")))
+    return convicting.groupBy(*diagonal).agg(F.min(F.struct("place", "hit", "n_seeds", "matched_words", "overlap_words")).alias("o")).select("o.hit", "o.n_seeds", "doc_id", "item_id", "o.matched_words", "o.overlap_words")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:

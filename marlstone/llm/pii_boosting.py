@@ -38,7 +38,7 @@ BASE = {
 }
 #: (kind, pattern, a cheap test that any match needs)
 GENERATORS = (
-    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?(?:\[at\]|\(at\)|\{at\}|\x20at\x20)\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\[dot\]|\(dot\)|\{dot\}|\.|\x20dot\x20)\x20?[A-Za-z]{2,24}){1,3}(?![A-Za-z0-9])", r"(?:[\[({]at[\])}]|[\x20.]dot[\x20])"),
+    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?(?:\[at\]|\(at\)|\{at\}|\x20at\x20)\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\[dot\]|\(dot\)|\{dot\}|\.|\x20dot\x20)\x20?[A-Za-z]{2,24}){1,3}(?![A-Za-z0-9])", r"(?:\[at\]|\(at\)|\{at\}|\x20at\x20)"),
     ("ip", r"(?<![0-9A-Za-z:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}(?![0-9A-Za-z:])", r"[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:"),
     ("card", r"(?<![0-9A-Za-z])[0-9]{4}(?:[./_][0-9]{4}){2,3}[0-9]{0,3}(?![0-9A-Za-z])", r"[0-9]{4}[./_][0-9]{4}"),
     ("phone", r"(?<![0-9A-Za-z+])(?:\([0-9]{2,4}\)\x20?|0[0-9]{1,4}[\x20./-]|[0-9]{3}[\x20.-])[0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9A-Za-z])", r"[0-9][\x20.-][0-9]{3,4}(?![0-9])"),

@@ -88,7 +88,7 @@ WITH {_LEXICAL}, allt AS (
 SELECT query_id, doc_id AS id FROM allt QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY doc_id) <= 1000000""")
 def lexical_all_terms(spark, sf_dir):
     """R2, L2: documents that have all terms of a question."""
-    return lexical.search(load(spark, sf_dir, "documents"), _questions(spark, sf_dir), k=1_000_000).select("query_id", "id")
+    return lexical.search(load(spark, sf_dir, "documents"), _questions(spark, sf_dir), k=None).select("query_id", "id")
 
 
 _WEB_SQL = f"""

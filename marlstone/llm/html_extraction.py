@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from marlstone.llm.common import load
 
 #: Elements whose content is never text of the page.
-RAW = "script style noscript template svg math iframe object embed applet audio video canvas map head title select textarea button option datalist".split()
+RAW = "script style noscript template svg math iframe object embed applet audio video canvas map title select textarea button option datalist".split()
 #: Elements that are not part of an article.
 ASIDE = "nav footer aside form menu dialog search fieldset".split()
 BLOCKS = (
@@ -52,7 +52,7 @@ NAMES = (
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"thead", "tbody"}, "tfoot": {"tbody"}, "p": {"p"}}
 _STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "tfoot": {"table"}}
 _RAW_SET, _ASIDE_SET, _BLOCK_SET, _VOID_SET, _ROLE_SET, _NAME_SET = map(frozenset, (RAW, ASIDE, BLOCKS, VOID, ROLES, NAMES))
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]{0,4096}\"|'[^']{0,4096}')*+)>", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[^<>])*+)>", re.S)
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style|itemprop)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _SPACE = re.compile(r"\s+")
 _WORDS = re.compile(r"[a-z]+")

@@ -6,7 +6,7 @@ ids; inline elements do not open paths). Each path has two ratios, text length
 and punctuation for each of its blocks; both are smoothed over neighbouring paths
 in page order, fused by their product, and reduced by the path's share of link
 text. Paths above a share of the page's weighted mean are content. The content
-node is the deepest element that holds nearly all content text, and what it holds
+node is the deepest element that leaves no content block or heading out, and what it holds
 is the article, short paragraphs and headings with it, except subtrees that their
 element, role or name marks as something else (menus, adverts, comments, ...).
 
@@ -60,6 +60,7 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _MARKS = frozenset(".,;:!?…。，、；：！？")
 _ends: dict[str, re.Pattern] = {}
 
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _LEAVES = frozenset("p li td blockquote pre dd".split())
 
 SMOOTH = (0.25, 0.5, 0.25)
@@ -225,15 +226,19 @@ def main_text(page: str | None) -> str:
     if any(nodes[k].content for k, _, _ in own):
         own = [x for x in own if nodes[x[0]].content]
     chosen = content_paths([(nodes[k].path, t, linked) for k, t, linked in own])
-    weight = [0] * len(nodes)
+    weight, needed, headed = [0] * len(nodes), [0] * len(nodes), [n.tag in _HEADINGS for n in nodes]
+    for k, n in enumerate(nodes):
+        headed[k] = headed[k] or k > 0 and headed[n.parent]
     for k, t, linked in own:
         if nodes[k].path in chosen:
             weight[k] += max(len(t) - linked, 0)
+        needed[k] += nodes[k].path in chosen or headed[k]
     for k in range(len(nodes) - 1, 0, -1):  # parents come before their children
         weight[nodes[k].parent] += weight[k]
-    # the deepest element with nearly all content text; an article goes before its parts
+        needed[nodes[k].parent] += needed[k]
+    # the deepest element with nearly all content text and with every block of content paths and every heading; an article goes before its parts
     root = 0
-    heavy = {n.parent: k for k, n in enumerate(nodes) if k and weight[0] and weight[k] >= COVER * weight[0] and n.tag not in _LEAVES}
+    heavy = {n.parent: k for k, n in enumerate(nodes) if k and weight[0] and weight[k] >= COVER * weight[0] and needed[k] == needed[0] and n.tag not in _LEAVES}
     while root in heavy and nodes[root].tag != "article":
         root = heavy[root]
     inside: dict[int, bool] = {-1: False}

@@ -2,22 +2,26 @@
 
 A seed is a fixed mask over consecutive tokens that ignores some positions, so a
 substituted token breaks only the seeds that read it. Seeds of the benchmark are
-indexed by hash; a document's seeds are tested in place against a table of the
-pairs of tokens that seeds begin with, then against a table of the hashes, and
-only the few that pass are joined with the index. Each hit is verified
-on the tokens themselves: the alignment is extended to both sides, a match adding
-one and a substitution taking two, to where its score is best; an overlap of
-enough matching tokens, nearly all of them equal, convicts. Hits on one diagonal
-that follow each other without a gap are one run; each run is extended from its
-first hit, and of a diagonal the first run that convicts is reported.
+indexed by hash; a document's seeds are tested in place against a bit table of
+the pairs of tokens that seeds begin with, then against one of the hashes, and
+only documents with a seed that passes go on, with their tokens.
+
+A seed that a document and an item share puts them on one diagonal. The whole
+diagonal is then compared token by token, however long both are: an overlap is a
+place where LEAST_MATCHED equal tokens stand within LEAST_MATCHED / LEAST_SHARE
+consecutive ones, and all overlaps of the diagonal are reported together. An item
+of fewer tokens than that convicts if it stands whole and unchanged; items
+shorter than the masks have a seed of their own, over all their tokens.
 
 The benchmark is the query set: it is taken in blocks of at most BLOCK_SEEDS
-seeds, each with tables and broadcasts of bounded size, so documents are
-never shuffled. Everything is native columns.
+seeds, each with bit tables and broadcasts of bounded size, so documents are
+never shuffled but for those with a hit. Everything is native columns.
 
 Defined results: tokens are runs of letters and digits, lowered; null texts have
-none. A benchmark item shorter than the masks has too little to convict anyone
-and takes no part. Repeated rows give the same (doc_id, item_id) once.
+none. Items of fewer than LEAST_ITEM tokens say too little to convict anyone and
+take no part. Repeated rows give the same (doc_id, item_id) once, with the hits
+of all of them. An empty table on either side gives no rows; other columns of
+the inputs are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,25 +31,30 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import let, load, written
+from marlstone.llm.common import few, let, load, written
 
 #: Both masks span ten tokens and read seven or eight of them.
 MASKS = ("1101101111", "1111011011")
 SPAN = len(MASKS[0])
-assert all(len(m) == SPAN and m.startswith("11") for m in MASKS)
-#: Tokens to which an alignment is extended on each side.
-REACH = 64
+#: Shorter items have a mask of their own length, all of it read.
+LEAST_ITEM = 5
+SHORT = range(LEAST_ITEM, SPAN)
+ALL_MASKS = (*MASKS, *("1" * n for n in SHORT))
+assert all(m.startswith("11") for m in ALL_MASKS)
 LEAST_MATCHED = 12
-LEAST_SHARE = 0.8
-BLOCK_SEEDS = 500_000
+#: Numerator and denominator of the least share of equal tokens in an overlap.
+LEAST_SHARE = (4, 5)
+BLOCK_SEEDS = 2_000_000
+#: Bits of a table for each hash, before rounding up to a power of two.
+TABLE_BITS = 48
 
 
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def _places(own: Column) -> Column:
-    return F.when(F.size(own) < SPAN, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.greatest(F.size(own) - SPAN, F.lit(0))))
+def _places(own: Column, span: int) -> Column:
+    return F.when(F.size(own) < span, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.greatest(F.size(own) - span, F.lit(0))))
 
 
 def _pair(own: Column, i: Column) -> Column:
@@ -54,118 +63,126 @@ def _pair(own: Column, i: Column) -> Column:
 
 
 def _seed(own: Column, i: Column, mask: int) -> Column:
-    return F.xxhash64(F.lit(mask), *[own[i + k] for k, c in enumerate(MASKS[mask]) if c == "1"])
-
-
-Table = tuple[Column, int]
-
+    return F.xxhash64(F.lit(mask), *[F.get(own, i + k) for k, c in enumerate(ALL_MASKS[mask]) if c == "1"])
 
-def seeds(own: Column, places: Column | None = None, held: Table | None = None) -> Column:
-    """Array of struct(at, mask, hash) of the seeds of an array of tokens. held: only those whose hash is in this table."""
-    where = _places(own) if places is None else places
-    good = lambda m: where if held is None else F.filter(where, lambda i: _in(held, _seed(own, i, m)))
-    each = lambda m: F.transform(good(m), lambda i: F.struct(i.alias("at"), F.lit(m).alias("mask"), _seed(own, i, m).alias("hash")))
-    return F.concat(*map(each, range(len(MASKS))))
 
+def _seeds_at(own: Column, places: Column, mask: int) -> Column:
+    """Array of struct(place, mask, hash): one mask at those of the places where it fits."""
+    fits = F.filter(places, lambda i: i + len(ALL_MASKS[mask]) <= F.size(own))
+    return F.transform(fits, lambda i: F.struct(i.alias("place"), F.lit(mask).alias("mask"), _seed(own, i, mask).alias("hash")))
 
-def _before(own: Column, i: Column) -> list[Column]:
-    """Hashes p0, p1, ... of the seeds one place before i; null at the first place."""
-    return [F.when(i > 0, _seed(own, F.greatest(i - 1, F.lit(0)), m)).alias(f"p{m}") for m in range(len(MASKS))]
 
+def item_seeds(own: Column) -> Column:
+    """Seeds of a benchmark item: both masks everywhere, or one over all of a short item."""
+    spaced = F.concat(*[_seeds_at(own, _places(own, SPAN), m) for m in range(len(MASKS))])
+    out = spaced
+    for k, n in enumerate(SHORT):
+        out = F.when(F.size(own) == n, _seeds_at(own, F.array(F.lit(0)), len(MASKS) + k)).otherwise(out)
+    return out
 
-def _in(table: Table, h: Column) -> Column:
-    """table: array of booleans and its size, a power of two. True if both places of a hash are set."""
-    at = lambda x: F.get(table[0], x.bitwiseAND(F.lit(table[1] - 1)).cast("int"))
-    return at(h) & at(F.shiftrightunsigned(h, 32))
 
+class BitTable:
+    """Two bits for each hash in an array of bigints, as a one-row table."""
 
-def _table(hashes: DataFrame) -> tuple[DataFrame, int]:
-    """One row, one array of booleans: true at the two places of each hash, of 64 for each hash. And its size."""
-    own = written(hashes.distinct(), "benchmark-hashes")
-    size = 1 << max(12, int(own.count() * 64 - 1).bit_length())
-    places = F.array(F.col("hash"), F.shiftrightunsigned("hash", 32))
-    hit = own.select(F.explode(places).alias("h")).select(F.col("h").bitwiseAND(F.lit(size - 1)).alias("at")).distinct().withColumn("hit", F.lit(True))
-    whole = own.sparkSession.range(size).withColumnRenamed("id", "at").join(hit, "at", "left").select("at", F.coalesce("hit", F.lit(False)).alias("hit"))
-    return written(whole.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "hit"))), lambda x: x["hit"]).alias("hits")), "benchmark-table"), size
+    def __init__(self, hashes: DataFrame):
+        own = written(hashes.distinct(), "benchmark-hashes")
+        self.bits = 1 << max(12, int(own.count() * TABLE_BITS - 1).bit_length())
+        at = own.select(F.explode(F.array(F.col("hash"), F.shiftrightunsigned("hash", 32))).alias("h")).select(F.col("h").bitwiseAND(F.lit(self.bits - 1)).alias("at"))
+        word = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(self._bit(F.col("at"))).alias("bits"))
+        whole = own.sparkSession.range(self.bits // 64).withColumnRenamed("id", "word").join(word, "word", "left").select("word", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits"))
+        self.table = written(whole.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda x: x["bits"]).alias("words")), "benchmark-bits")
 
+    @staticmethod
+    def _bit(at: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("bigint"), at.bitwiseAND(F.lit(63)).cast("int"))
 
-def _extended(doc: Column, item: Column, at: Column, item_at: Column, step: int) -> Column:
-    """Best extension of an alignment: struct(n, matched). step: 1 to the right, -1 to the left."""
-    zero = F.lit(0)
-    start = F.struct(zero.alias("score"), zero.alias("same"), zero.alias("best"), zero.alias("n"), zero.alias("matched"))
+    def holds(self, words: Column, h: Column) -> Column:
+        """True if both bits of a hash are set; words: the table's array."""
 
-    def further(acc: Column, k: Column) -> Column:
-        a, b = at + step * k, item_at + step * k
-        equal = F.coalesce((a >= 0) & (b >= 0) & (F.get(doc, F.greatest(a, zero)) == F.get(item, F.greatest(b, zero))), F.lit(False)).cast("int")
-        return let(
-            F.struct((acc["score"] + 3 * equal - 2).alias("score"), (acc["same"] + equal).alias("same")),
-            lambda now: F.struct(
-                now["score"].alias("score"),
-                now["same"].alias("same"),
-                F.greatest(acc["best"], now["score"]).alias("best"),
-                F.when(now["score"] > acc["best"], k).otherwise(acc["n"]).alias("n"),
-                F.when(now["score"] > acc["best"], now["same"]).otherwise(acc["matched"]).alias("matched"),
-            ),
-        )
+        def at(x: Column) -> Column:
+            place = x.bitwiseAND(F.lit(self.bits - 1))
+            return F.get(words, F.shiftright(place, 6).cast("int")).bitwiseAND(self._bit(place)) != 0
 
-    return F.aggregate(F.sequence(F.lit(1), F.least(F.lit(REACH), F.greatest(F.size(item), F.lit(1)))), start, further, lambda acc: F.struct(acc["n"].alias("n"), acc["matched"].alias("matched")))
+        return at(h) & at(F.shiftrightunsigned(h, 32))
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> list[DataFrame]:
-    """(item_id, item, item_seeds) in blocks whose seeds are counted."""
-    items = benchmark.select(F.col(item_col).alias("item_id"), tokens(F.col(text_col)).alias("item")).where(F.size("item") >= SPAN)
+    """(item_id, item) in blocks whose seeds are counted."""
+    items = benchmark.select(F.col(item_col).alias("item_id"), tokens(F.col(text_col)).alias("item")).where(F.size("item") >= LEAST_ITEM)
     n = items.agg(F.sum(F.size("item") * len(MASKS))).first()[0] or 0
     parts = -(-n // BLOCK_SEEDS) or 1
     return [items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id", "item"), F.lit(parts)) == k) for k in range(parts)]
 
 
+def _overlaps(doc: Column, item: Column, diagonal: Column) -> Column:
+    """struct(matched, overlap) of a whole diagonal: tokens in its overlaps, equal ones and all; zeros if it has none.
+
+    diagonal: place in doc less place in item.
+    """
+    first, last = F.greatest(F.lit(0), -diagonal), F.least(F.size(item), F.size(doc) - diagonal) - 1
+    equal = F.when(first <= last, F.filter(F.sequence(first, F.greatest(first, last)), lambda j: F.get(doc, j + diagonal) == F.get(item, j))).otherwise(F.array().cast("array<int>"))
+    least = F.least(F.lit(LEAST_MATCHED), F.size(item))
+    up, down = LEAST_SHARE
+
+    def of(p: Column) -> Column:
+        runs = F.when(F.size(p) < least, F.array().cast("array<int>")).otherwise(F.filter(F.sequence(F.lit(0), F.greatest(F.size(p) - least, F.lit(0))), lambda i: down * least >= up * (F.get(p, i + least - 1) - F.get(p, i) + 1)))
+
+        def covered(starts: Column) -> Column:
+            # what each run adds to those before it
+            def adds(i: Column, k: Column) -> Column:
+                before = F.when(k == 0, F.lit(-1)).otherwise(F.get(starts, F.greatest(k - 1, F.lit(0))) + least - 1)
+                n = F.least(least, i + least - 1 - before)
+                return F.struct(n.alias("n"), (F.get(p, i + least - 1) - F.when(i <= before, F.get(p, F.greatest(before, F.lit(0)))).otherwise(F.get(p, i) - 1)).alias("w"))
+
+            zero = F.struct(F.lit(0).alias("matched"), F.lit(0).alias("overlap"))
+            return F.aggregate(F.transform(starts, adds), zero, lambda acc, x: F.struct((acc["matched"] + x["n"]).alias("matched"), (acc["overlap"] + x["w"]).alias("overlap")))
+
+        return let(runs, covered)
+
+    return let(equal, of)
+
+
 def _hits(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Verified overlaps of docs (doc_id, text) with one block of items."""
-    known = lambda w: F.transform(seeds(w), lambda x: F.struct(x["at"].alias("item_at"), x["mask"].alias("mask"), x["hash"].alias("hash"), *[p.alias(f"item_p{m}") for m, p in enumerate(_before(w, x["at"]))]))
-    index = written(items.select("item_id", F.inline(let(F.col("item"), known))), "benchmark-seeds")
-    heads = items.select(F.explode(let(F.col("item"), lambda w: F.transform(_places(w), lambda i: _pair(w, i)))).alias("hash"))
-    (pairs, n_pairs), (hashes, n_hashes) = _table(heads), _table(index.select("hash"))
+    """Overlaps of docs (doc_id, text) with one block of items."""
+    index = written(items.select("item_id", F.inline(let(F.col("item"), item_seeds))).withColumnRenamed("place", "item_at"), "benchmark-seeds")
+    spans = sorted({m for (m,) in index.select("mask").distinct().collect()})  # at most as many as there are masks
+    heads = items.select(F.explode(let(F.col("item"), lambda w: F.transform(F.when(F.size(w) < SPAN, F.array(F.lit(0))).otherwise(_places(w, SPAN)), lambda i: _pair(w, i)))).alias("hash"))
+    pairs, hashes = BitTable(heads), BitTable(index.select("hash"))
 
     def passing(w: Column) -> Column:
-        # nearly all places fail on their first two tokens; a hit takes only the tokens that its extension can reach
-        likely = F.filter(_places(w), lambda i: _in((F.col("pairs"), n_pairs), _pair(w, i)))
-        start = lambda x: F.greatest(x["at"] - REACH, F.lit(0))
-        near = lambda x: F.struct(x["at"].alias("place"), (x["at"] - start(x)).alias("at"), x["mask"].alias("mask"), x["hash"].alias("hash"), F.slice(w, start(x) + 1, F.lit(SPAN + 2 * REACH)).alias("doc"), *_before(w, x["at"]))
-        return F.transform(let(likely, lambda p: seeds(w, p, (F.col("hashes"), n_hashes))), near)
-
-    at = docs.select("doc_id", "text", pairs.scalar().alias("pairs"), hashes.scalar().alias("hashes"))
-    found = at.select("doc_id", F.monotonically_increasing_id().alias("row"), let(tokens(F.col("text")), passing).alias("seeds")).select("doc_id", "row", F.explode("seeds").alias("seed"))
-    found = found.select("doc_id", "row", "seed.place", "seed.at", F.col("seed.mask").alias("m"), F.col("seed.hash").alias("h"), "seed.doc", *[f"seed.p{m}" for m in range(len(MASKS))])
-    hits = found.join(F.broadcast(index), (F.col("h") == F.col("hash")) & (F.col("m") == F.col("mask")))
-    # a hit whose predecessor on the diagonal is no hit starts a run, which is one alignment, extended from there
-    follows = reduce(lambda a, b: a | b, [F.coalesce(F.col(f"p{m}") == F.col(f"item_p{m}"), F.lit(False)) for m in range(len(MASKS))])
-    diagonal = ["row", "doc_id", "item_id", "diagonal"]
-    first = F.collect_set(F.when(~follows, F.struct("place", "at", "item_at", "doc"))).alias("runs")
-    met = hits.groupBy("row", "doc_id", "item_id", (F.col("place") - F.col("item_at")).alias("diagonal")).agg(first, F.count(F.lit(1)).alias("n_seeds"))
-    met = met.select(*diagonal, "n_seeds", F.explode("runs").alias("run")).select(*diagonal, "n_seeds", "run.place", "run.at", "run.item_at", "run.doc")
-    aligned = met.join(F.broadcast(items.withColumnRenamed("item_id", "own")), F.col("item_id").eqNullSafe(F.col("own")))
-    core = reduce(lambda a, b: a + b, [F.coalesce(F.get("doc", F.col("at") + k) == F.get("item", F.col("item_at") + k), F.lit(False)).cast("int") for k in range(SPAN)])
-    left, right = (_extended(F.col("doc"), F.col("item"), a, b, step) for a, b, step in ((F.col("at"), F.col("item_at"), -1), (F.col("at") + SPAN - 1, F.col("item_at") + SPAN - 1, 1)))
-    # numbering the hits keeps the filter from being pushed down, where alignments would be extended twice
-    extended = aligned.select(*diagonal, "place", left.alias("l"), right.alias("r"), core.alias("core"), "n_seeds", F.monotonically_increasing_id().alias("hit"))
-    overlap = extended.select("hit", "n_seeds", *diagonal, "place", (F.col("core") + F.col("l.matched") + F.col("r.matched")).alias("matched_words"), (F.lit(SPAN) + F.col("l.n") + F.col("r.n")).alias("overlap_words"))
-    convicting = overlap.where((F.col("matched_words") >= LEAST_MATCHED) & (F.col("matched_words") >= LEAST_SHARE * F.col("overlap_words")))
-    return convicting.groupBy(*diagonal).agg(F.min(F.struct("place", "hit", "n_seeds", "matched_words", "overlap_words")).alias("o")).select("o.hit", "o.n_seeds", "doc_id", "item_id", "o.matched_words", "o.overlap_words")
+        # nearly all places fail on their first two tokens
+        likely = F.filter(_places(w, LEAST_ITEM), lambda i: pairs.holds(F.col("pairs"), _pair(w, i)))
+        found = lambda p: F.filter(F.concat(*[_seeds_at(w, p, m) for m in spans]), lambda x: hashes.holds(F.col("hashes"), x["hash"]))
+        return F.struct(w.alias("doc"), let(likely, found).alias("seeds"))
+
+    if not spans:
+        return docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, matched int, overlap int, n_seeds bigint")
+    at = docs.select("doc_id", "text", pairs.table.scalar().alias("pairs"), hashes.table.scalar().alias("hashes"))
+    # numbering the rows keeps the filter above the projection, where seeds are found once
+    found = at.select("doc_id", F.monotonically_increasing_id().alias("row"), let(tokens(F.col("text")), passing).alias("c")).where(F.size("c.seeds") > 0)
+    held = written(found.select("doc_id", "row", "c.doc", "c.seeds"), "documents-with-seeds")
+    hits = held.select("row", F.inline("seeds")).join(index, ["mask", "hash"])
+    met = hits.groupBy("row", "item_id", (F.col("place") - F.col("item_at")).alias("diagonal")).agg(F.count(F.lit(1)).alias("n_seeds"))
+    aligned = met.join(held.select("row", "doc_id", "doc"), "row").join(F.broadcast(items.withColumnRenamed("item_id", "own")), F.col("item_id").eqNullSafe(F.col("own")))
+    judged = aligned.select("doc_id", "item_id", "n_seeds", _overlaps(F.col("doc"), F.col("item"), F.col("diagonal")).alias("o"), F.monotonically_increasing_id().alias("hit"))
+    return judged.select("doc_id", "item_id", "o.matched", "o.overlap", "n_seeds").where("matched > 0")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(doc_id, item_id, matched_words, overlap_words, n_hits) of documents that hold a good part of a benchmark item."""
+    """(doc_id, item_id, matched_words, overlap_words, n_hits) of documents that hold a good part of a benchmark item.
+
+    The words are those of the diagonal with most equal ones; hits are the seeds of all diagonals that convict.
+    """
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     hits = reduce(DataFrame.unionByName, [_hits(own, items) for items in _blocks(benchmark, item_col, item_text_col)])
-    best = hits.groupBy("doc_id", "item_id").agg(F.max(F.struct("matched_words", F.negative("overlap_words").alias("less"))).alias("b"), F.sum(F.when(F.col("hit").isNotNull(), F.col("n_seeds"))).alias("n_hits"))
-    return best.select("doc_id", "item_id", F.col("b.matched_words").cast("bigint").alias("matched_words"), F.negative("b.less").cast("bigint").alias("overlap_words"), "n_hits")
+    best = hits.groupBy("doc_id", "item_id").agg(F.max(F.struct("matched", F.negative("overlap").alias("less"))).alias("b"), F.sum("n_seeds").alias("n_hits"))
+    return best.select("doc_id", "item_id", F.col("b.matched").cast("bigint").alias("matched_words"), F.negative("b.less").cast("bigint").alias("overlap_words"), "n_hits")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 1_000_000) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose id is not contaminated, with all their columns."""
-    bad = written(contaminated(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("__bad")).distinct(), "contaminated")
-    bad = F.broadcast(bad) if bad.count() <= broadcast_rows else bad
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["__bad"]), "left_anti")
+    bad = few(written(contaminated(docs, benchmark, id_col, text_col).select("doc_id").distinct().toDF("_contaminated_id"), "contaminated"))
+    return docs.alias("d").join(bad, F.col(f"d.`{id_col}`").eqNullSafe(F.col("_contaminated_id")), "left_anti")
 
 
 def op4_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,35 +190,30 @@ def op4_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql_mask(m: int, of: str) -> str:
-    return " || ' ' || ".join(f"{of}[i + {k}]" for k, c in enumerate(MASKS[m]) if c == "1")
+    return " || ' ' || ".join(f"{of}[i + {k}]" for k, c in enumerate(ALL_MASKS[m]) if c == "1")
+
+
+def _sql_seeds(source: str, keys: str, w: str, short: bool) -> str:
+    """Seeds of every mask; of a benchmark item a short mask only where it covers the item."""
+    at = lambda m: f"SELECT {keys}, i, {m} AS mask, {_sql_mask(m, w)} AS seed FROM {source} WHERE i + {len(ALL_MASKS[m]) - 1} <= len({w})"
+    return " UNION ALL ".join(at(m) + (f" AND len({w}) = {len(ALL_MASKS[m])}" if short and m >= len(MASKS) else "") for m in range(len(ALL_MASKS)))
 
 
 OP4_SQL = f"""
-WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents),
-b AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS t FROM benchmark),
-dp AS (SELECT doc_id, w, unnest(range(1, len(w) - {SPAN - 2})) AS i FROM d WHERE len(w) >= {SPAN}),
-bp AS (SELECT item_id, t, unnest(range(1, len(t) - {SPAN - 2})) AS i FROM b WHERE len(t) >= {SPAN}),
-ds AS ({' UNION ALL '.join(f"SELECT doc_id, i, {m} AS mask, {_sql_mask(m, 'w')} AS seed FROM dp" for m in range(len(MASKS)))}),
-bs AS ({' UNION ALL '.join(f"SELECT item_id, i, {m} AS mask, {_sql_mask(m, 't')} AS seed FROM bp" for m in range(len(MASKS)))}),
-h AS (SELECT ds.doc_id, bs.item_id, ds.i AS dp0, bs.i AS ip FROM ds JOIN bs USING (mask, seed)),
-f AS (SELECT doc_id, item_id, dp0, ip, count(*) OVER g AS n_seeds FROM h WINDOW g AS (PARTITION BY doc_id, item_id, dp0 - ip) QUALIFY row_number() OVER (PARTITION BY doc_id, item_id, dp0 - ip ORDER BY dp0) = 1),
-a AS (SELECT row_number() OVER () AS hit, f.*, w, t FROM f JOIN d USING (doc_id) JOIN b USING (item_id)),
-k AS (SELECT *, unnest(range(1, least({REACH}, len(t)) + 1)) AS k FROM a),
-s AS (
-  SELECT hit, k, 1 AS side, coalesce(dp0 + {SPAN - 1} + k <= len(w) AND ip + {SPAN - 1} + k <= len(t) AND w[dp0 + {SPAN - 1} + k] = t[ip + {SPAN - 1} + k], false)::INT AS same FROM k
-  UNION ALL
-  SELECT hit, k, -1, coalesce(dp0 - k >= 1 AND ip - k >= 1 AND w[greatest(dp0 - k, 1)] = t[greatest(ip - k, 1)], false)::INT FROM k),
-r AS (SELECT hit, side, k, sum(3 * same - 2) OVER o AS score, sum(same) OVER o AS matched FROM s WINDOW o AS (PARTITION BY hit, side ORDER BY k)),
-best AS (
-  SELECT hit, side, k, matched FROM r WHERE score > 0
-  QUALIFY row_number() OVER (PARTITION BY hit, side ORDER BY score DESC, k) = 1),
-ext AS (SELECT hit, sum(k) AS n, sum(matched) AS matched FROM best GROUP BY hit),
-o AS (
-  SELECT doc_id, item_id, n_seeds,
-         len(list_filter(range(0, {SPAN}), lambda x: w[dp0 + x] = t[ip + x])) + coalesce(ext.matched, 0) AS matched_words,
-         {SPAN} + coalesce(ext.n, 0) AS overlap_words
-  FROM a LEFT JOIN ext USING (hit)),
-g AS (SELECT * FROM o WHERE matched_words >= {LEAST_MATCHED} AND matched_words >= {LEAST_SHARE} * overlap_words)
-SELECT doc_id, item_id, matched_words::BIGINT AS matched_words, overlap_words::BIGINT AS overlap_words, (sum(n_seeds) OVER (PARTITION BY doc_id, item_id))::BIGINT AS n_hits
-FROM g QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched_words DESC, overlap_words) = 1
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents),
+b AS (SELECT row_number() OVER () AS bid, item_id, t FROM (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS t FROM benchmark) WHERE len(t) >= {LEAST_ITEM}),
+dp AS (SELECT rid, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+bp AS (SELECT bid, t, unnest(range(1, len(t) + 1)) AS i FROM b),
+ds AS ({_sql_seeds("dp", "rid", "w", False)}),
+bs AS ({_sql_seeds("bp", "bid", "t", True)}),
+h AS (SELECT ds.rid, bs.bid, ds.i - bs.i AS diagonal, count(*) AS n_seeds FROM ds JOIN bs USING (mask, seed) GROUP BY ALL),
+a AS (SELECT row_number() OVER () AS hit, doc_id, item_id, diagonal, n_seeds, w, t, least({LEAST_MATCHED}, len(t)) AS least FROM h JOIN d USING (rid) JOIN b USING (bid)),
+k AS (SELECT hit, doc_id, item_id, n_seeds, least, diagonal, w, t, unnest(range(greatest(1, 1 - diagonal), least(len(t), len(w) - diagonal) + 1)) AS j FROM a),
+e AS (SELECT hit, doc_id, item_id, n_seeds, least, j, row_number() OVER (PARTITION BY hit ORDER BY j) AS r FROM k WHERE w[j + diagonal] = t[j]),
+s AS (SELECT x.hit, x.r, x.j AS low, y.j AS high, x.least FROM e x JOIN e y ON x.hit = y.hit AND y.r = x.r + x.least - 1 WHERE {LEAST_SHARE[1]} * x.least >= {LEAST_SHARE[0]} * (y.j - x.j + 1)),
+c AS (SELECT DISTINCT s.hit, unnest(range(low, high + 1)) AS j FROM s),
+o AS (SELECT c.hit, count(*) AS overlap, count(e.j) AS matched FROM c LEFT JOIN e ON c.hit = e.hit AND c.j = e.j GROUP BY c.hit),
+g AS (SELECT doc_id, item_id, n_seeds, matched, overlap FROM o JOIN a USING (hit))
+SELECT doc_id, item_id, matched::BIGINT AS matched_words, overlap::BIGINT AS overlap_words, (sum(n_seeds) OVER (PARTITION BY doc_id, item_id))::BIGINT AS n_hits
+FROM g QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, overlap) = 1
 """

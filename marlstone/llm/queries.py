@@ -9,7 +9,7 @@ from marlstone.llm.pii_boosting import op3_pii_boosted
 from marlstone.llm.quality_rules import OP9_SQL, op9_quality_rules
 from marlstone.llm.secret_ownership import op6_secret_ownership
 from marlstone.llm.simhash_neardup import op7_simhash_pigeonring
-from marlstone.llm.substring_dedup import op5_relative_lempel_ziv
+from marlstone.llm.substring_dedup import OP5_SQL, op5_relative_lempel_ziv
 from marlstone.llm.token_counts import op2_token_counts
 from marlstone.llm.token_files import op10_repair_token_files
 
@@ -27,6 +27,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op4_spaced_seeds": OP4_SQL,
+    "op5_relative_lempel_ziv": OP5_SQL,
     "op8_hierarchical_mixing": OP8_SQL,
     "op9_quality_rules": OP9_SQL,
 }

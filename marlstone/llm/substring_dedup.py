@@ -1,26 +1,33 @@
 """Substring deduplication by relative Lempel-Ziv parsing.
 
-The reference of a document is every document with a smaller id. Its windows of
-`width` words are indexed by hash in blocks; a document is factored greedily
-against all blocks: a factor starts at the first window that the reference holds
-and runs on, word by word, as long as the next window is held by the same
-earlier document. Factors are thus at least `width` words long. Every window that
-straddles the boundary of two factors is looked up itself, so that factors which
-only stand side by side here lend each other no words.
-
-Flow. Documents are dealt to batches by a hash of id and text. A batch hashes all
-its windows and sends each block one packed row: window hashes, and bits for
-windows that a smaller document of the batch holds already, which need no answer.
-A window that very many documents share therefore reaches its block once a batch,
-not once a document. A block finds the least id of each hash and answers each
-batch with one packed row of bits and reference ids; the batch's texts, whose
-exchange is used again, are then parsed. Batches and blocks grow in number with
-spark.sql.shuffle.partitions, and the number of blocks adds to the 64 bits of
-hash, as blocks come from a second hash of the same window.
-
-Defined results: null texts have no words. Rows with the same id are not smaller
-than each other, so repeated rows keep their words and each have a row. A row
-with a null id keeps all words and is nobody's reference.
+The reference of a document is every document with a smaller id. It is indexed in
+blocks by its windows of `width` words: each window's first occurrence, the least
+(id, place). A document is factored greedily from left to right against all
+blocks: where the reference holds the window at a word, a factor starts there, at
+that place of that document, and runs on word by word as long as the index leads
+on to the next place of the same document; otherwise the word is a literal. A
+factor is thus a copy of width words or more of one place of the reference, and
+the next one starts where it ends. Windows that straddle the end of a factor,
+which no factor has looked at, are looked up themselves. Words of factors and of
+straddling windows that the reference holds are duplicates and go.
+
+Flow. Documents are dealt to batches by a hash of id and text. A batch finds the
+first occurrence of each of its windows and sends each block one packed row of
+them. A block finds the first occurrence of all, and answers each batch with those
+that stand in a smaller document elsewhere. The batch's texts, whose exchange is
+used again, are then parsed. A window that very many documents share reaches its
+block once a batch, not once a document. Batches and blocks are as many as the
+counted bytes of text need, so that a group stays at BATCH_BYTES however large the
+input is.
+
+Windows are compared by 64 bits within blocks that a second hash of the same
+window chooses.
+
+Defined results: null and white-space-only texts have no words; texts of any
+length are taken whole. Rows with the same id are not smaller than each other, so
+repeated rows keep their words and each have a row. A row with a null id keeps all
+words and is nobody's reference. An empty table gives no rows. Only the two named
+columns are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -37,10 +44,10 @@ from pyspark.sql import functions as F
 from marlstone.llm.common import load
 
 WIDTH = 13
-#: Batches for each shuffle partition.
-BATCHES = 3
-_MESSAGE = "block int, batch int, ids binary, marks binary, counts binary, held binary, hashes binary, sources binary"
-_ANSWER = "batch int, block int, ids binary, marks binary, counts binary, held binary, sources binary"
+#: Bytes of text of a batch, and of the windows' texts of a block.
+BATCH_BYTES = 24 << 20
+_MESSAGE = "block int, batch int, ids binary, counts binary, gaps binary, jumps binary, hashes binary"
+_ANSWER = "batch int, block int, held binary, sources binary, places binary"
 
 
 @dataclass
@@ -82,39 +89,99 @@ def windows(text: str | None, width: int, blocks: int) -> tuple[list[bytes], np.
         _hashers.extend((Hasher(5), Hasher(7)))
     own = (text or "").encode("utf-8", "surrogatepass").split()
     if len(own) < width:
-        return own, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return own, np.zeros(0, np.uint64), np.zeros(0, np.int32)
     data = np.frombuffer(b" ".join(own), np.uint8)
     gaps = np.flatnonzero(data == 32)
     starts = np.concatenate([[0], gaps + 1])[: len(own) - width + 1]
     ends = np.append(gaps, len(data))[width - 1 :]
     first, second = (h.runs(data, starts, ends) for h in _hashers)
-    return own, first, ((second >> np.uint64(33)) % np.uint64(blocks)).astype(np.int64)
-
-
-def _cuts(sorted_blocks: np.ndarray, blocks: int) -> np.ndarray:
-    return np.searchsorted(sorted_blocks, np.arange(blocks + 1))
-
-
-def _pack(batch: list, blocks: int) -> Iterator[tuple]:
-    """(block, ids, marks, counts, held, hashes) of a batch: (id, mark, hashes, blocks) of each document."""
-    hashes = np.concatenate([x[2] for x in batch])
-    where = np.concatenate([x[3] for x in batch])
-    doc = np.repeat(np.arange(len(batch)), [len(x[2]) for x in batch])
-    ids, marks = (np.array([x[k] for x in batch], np.int64) for k in (0, 1))
-    by_hash = np.argsort(hashes)
-    h = hashes[by_hash]
-    new = np.concatenate([[True], h[1:] != h[:-1]])
-    least = np.minimum.reduceat(ids[doc[by_hash]], np.flatnonzero(new))[np.cumsum(new) - 1]
-    source = np.empty(len(h), np.int64)
-    source[by_hash] = least
-    order = np.argsort(where, kind="stable")
-    cuts = _cuts(where[order], blocks)
-    for b in range(blocks):
-        at = order[cuts[b] : cuts[b + 1]]
-        if len(at):
-            docs, counts = np.unique(doc[at], return_counts=True)
-            held = source[at] < ids[doc[at]]
-            yield b, ids[docs], marks[docs], counts.astype(np.uint32), np.packbits(held), hashes[at[~held]], source[at[held]]
+    return own, first, ((second >> np.uint64(33)) % np.uint64(blocks)).astype(np.int32)
+
+
+def _places(counts: np.ndarray, gaps: np.ndarray) -> np.ndarray:
+    """Places from gaps that start anew after each count."""
+    if not len(gaps):
+        return gaps
+    total = np.cumsum(gaps)
+    start = np.cumsum(counts) - counts
+    return total - np.repeat(total[start] - gaps[start], counts)
+
+
+@dataclass
+class Batch:
+    """Windows of a batch's documents, which stand by id; each (id, text) stands once."""
+
+    docs: list[tuple[int, int, str]]
+    width: int
+    blocks: int
+
+    def __post_init__(self) -> None:
+        found = [windows(t, self.width, self.blocks) for *_, t in self.docs]
+        self.words = [x[0] for x in found]
+        self.ids = np.array([i for i, *_ in self.docs], np.int64)
+        self.ends = np.cumsum([len(x[1]) for x in found], dtype=np.int64)
+        counts = np.diff(self.ends, prepend=0)
+        doc = np.repeat(np.arange(len(found)), counts)
+        hashes = np.concatenate([np.zeros(0, np.uint64), *(x[1] for x in found)])
+        where = np.concatenate([np.zeros(0, np.int32), *(x[2] for x in found)])
+        _, first, self.distinct = np.unique(hashes, return_index=True, return_inverse=True)
+        place = np.arange(len(hashes)) - (self.ends - counts)[doc]
+        # of each distinct window, its first occurrence in the batch
+        self.source, self.place = self.ids[doc[first]], place[first]
+        at = np.sort(first)
+        at = at[np.argsort(where[at], kind="stable")]
+        self.cuts = np.searchsorted(where[at], np.arange(self.blocks + 1))
+        self.entries = at
+        self._of = lambda e: (doc[e], place[e], hashes[e])
+
+    def messages(self) -> Iterator[tuple[int, ...]]:
+        """(block, ids, counts, gaps, jumps, hashes): first occurrences by id and place."""
+        for b in range(self.blocks):
+            e = self.entries[self.cuts[b] : self.cuts[b + 1]]
+            if len(e):
+                doc, place, hashes = self._of(e)
+                docs, start, counts = np.unique(doc, return_index=True, return_counts=True)
+                gaps = np.diff(place, prepend=0)
+                gaps[start] = place[start]
+                yield b, self.ids[docs], counts.astype(np.uint32), np.minimum(gaps, 255).astype(np.uint8), gaps[gaps >= 255].astype(np.uint32), hashes
+
+    def learn(self, block: int, held: bytes, sources: bytes, places: bytes) -> None:
+        """A block's answer: windows whose first occurrence is in a smaller document of another batch."""
+        e = self.entries[self.cuts[block] : self.cuts[block + 1]]
+        at = self.distinct[e[np.unpackbits(np.frombuffer(held, np.uint8), count=len(e)).astype(bool)]]
+        self.source[at], self.place[at] = np.frombuffer(sources, np.int64), np.frombuffer(places, np.uint32)
+
+    def parsed(self, k: int) -> tuple[list[tuple[int, int, int, int]], np.ndarray]:
+        """Factors of document k, and the mask of its words that go."""
+        own = self.distinct[self.ends[k - 1] if k else 0 : self.ends[k]]
+        source, place = self.source[own], self.place[own]
+        spans, straddling = factors(source < self.ids[k], source, place, self.width)
+        change = np.zeros(len(self.words[k]) + 1, np.int64)
+        for start, end, *_ in (*spans, *straddling):
+            change[start] += 1
+            change[end] -= 1
+        return spans, np.cumsum(change)[:-1] > 0
+
+
+def factors(held: np.ndarray, source: np.ndarray, place: np.ndarray, width: int) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int]]]:
+    """Greedy factors (start, end, source, source_start) in words, end exclusive, and spans of windows that straddle their ends.
+
+    held: windows that the reference holds; source and place: where.
+    """
+    at = np.flatnonzero(held)
+    if not len(at):
+        return [], []
+    new = np.concatenate([[True], (np.diff(at) > 1) | (source[at[1:]] != source[at[:-1]]) | (place[at[1:]] != place[at[:-1]] + 1)])
+    last = at[np.append(np.flatnonzero(new)[1:] - 1, len(at) - 1)]
+    spans, straddling, upto = [], [], 0
+    for a, b in zip(at[new].tolist(), last.tolist(), strict=True):  # windows a to b lead through one place of the reference
+        if a < upto:
+            straddling.append((a, min(b, upto - 1) + width))
+        if b >= upto:
+            start = max(a, upto)
+            spans.append((start, b + width, int(source[start]), int(place[start])))
+            upto = b + width
+    return spans, straddling
 
 
 def _table(rows: list[tuple], schema: str) -> pa.Table:
@@ -124,114 +191,102 @@ def _table(rows: list[tuple], schema: str) -> pa.Table:
     return pa.table([pa.array(c, pa.binary() if k == "binary" else pa.int32()) for c, k in zip(cols, kinds, strict=True)], names=list(names))
 
 
+def _rows(table: pa.Table) -> list[tuple[int | None, int, str]]:
+    return list(zip(*(table.column(c).to_pylist() for c in ("doc_id", "mark", "text")), strict=True))
+
+
+def _batch(rows: list[tuple], width: int, blocks: int) -> Batch:
+    return Batch(sorted({r for r in rows if r[0] is not None}), width, blocks)
+
+
 def _messages(width: int, blocks: int):
     def of(table: pa.Table) -> pa.Table:
-        own = []
-        for name, mark, text in zip(*(table.column(c).to_pylist() for c in ("doc_id", "mark", "text")), strict=True):
-            if name is not None:
-                _, hashes, where = windows(text, width, blocks)
-                if len(hashes):
-                    own.append((name, mark, hashes, where))
-        batch = table.column("batch")[0].as_py()
-        return _table([(b, batch, *(x.tobytes() for x in rest)) for b, *rest in (_pack(own, blocks) if own else ())], _MESSAGE)
+        number = table.column("batch")[0].as_py()
+        return _table([(b, number, *(x.tobytes() for x in rest)) for b, *rest in _batch(_rows(table), width, blocks).messages()], _MESSAGE)
 
     return of
 
 
 def _answers(table: pa.Table) -> pa.Table:
-    """A block: for each batch, bits and reference ids of its documents that have a window which a smaller one holds."""
-    got = table.to_pydict()
-    read = lambda name, kind: [np.frombuffer(x, kind) for x in got[name]]
-    ids, marks, counts, hashes = (read(*x) for x in (("ids", np.int64), ("marks", np.int64), ("counts", np.uint32), ("hashes", np.uint64)))
-    sources = read("sources", np.int64)
-    held = [np.unpackbits(np.frombuffer(b, np.uint8), count=int(c.sum())).astype(bool) for b, c in zip(got["held"], counts, strict=True)]
-    owner = [np.repeat(i, c)[~h] for i, c, h in zip(ids, counts, held, strict=True)]
-    h, own = np.concatenate(hashes), np.concatenate(owner)
-    least = np.empty(len(h), np.int64)
-    if len(h):
-        by_hash = np.argsort(h)
-        s = h[by_hash]
-        new = np.concatenate([[True], s[1:] != s[:-1]])
-        least[by_hash] = np.minimum.reduceat(own[by_hash], np.flatnonzero(new))[np.cumsum(new) - 1]
-    rows, at = [], 0
-    for k, bits in enumerate(held):
-        n = len(hashes[k])
-        source = np.empty(len(bits), np.int64)
-        source[bits] = sources[k]
-        source[~bits] = least[at : at + n]
-        bits[~bits] = least[at : at + n] < own[at : at + n]
-        at += n
-        each = counts[k].astype(np.int64)
-        some = np.add.reduceat(bits, np.cumsum(each) - each) > 0
-        if some.any():
-            kept = np.repeat(some, each)
-            rows.append((got["batch"][k], got["block"][k], ids[k][some].tobytes(), marks[k][some].tobytes(), counts[k][some].tobytes(), np.packbits(bits[kept]).tobytes(), source[bits].tobytes()))
+    """A block: for each batch, the windows whose first occurrence is in a smaller document."""
+    got = sorted(table.to_pylist(), key=lambda r: r["batch"])
+    hashes = [np.frombuffer(r["hashes"], np.uint64) for r in got]
+    owner, place = [], []
+    for r in got:
+        counts = np.frombuffer(r["counts"], np.uint32).astype(np.int64)
+        gaps = np.frombuffer(r["gaps"], np.uint8).astype(np.int64)
+        gaps[gaps == 255] = np.frombuffer(r["jumps"], np.uint32)
+        owner.append(np.repeat(np.frombuffer(r["ids"], np.int64), counts))
+        place.append(_places(counts, gaps).astype(np.uint32))
+    h, own, at = np.concatenate(hashes), np.concatenate(owner), np.concatenate(place)
+    by_id = np.argsort(own, kind="stable")  # a batch's entries stand by id and place already
+    by_hash = by_id[np.argsort(h[by_id], kind="stable")]
+    s = h[by_hash]
+    new = np.concatenate([[True], s[1:] != s[:-1]])
+    first = np.empty(len(h), np.int64)
+    first[by_hash] = by_hash[new][np.cumsum(new) - 1]
+    held = own[first] < own
+    rows, start = [], 0
+    for r, own_hashes in zip(got, hashes, strict=True):
+        mine = slice(start, start + len(own_hashes))
+        start = mine.stop
+        if held[mine].any():
+            source = first[mine][held[mine]]
+            rows.append((r["batch"], r["block"], np.packbits(held[mine]).tobytes(), own[source].tobytes(), at[source].tobytes()))
     return _table(rows, _ANSWER)
 
 
-def _by_document(table: pa.Table) -> dict[tuple[int, int], list[tuple]]:
-    """(block, bits, sources) of each document of a batch, by id and mark."""
-    out: dict[tuple[int, int], list[tuple]] = {}
-    for row in table.to_pylist():
-        ids, marks, counts = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["marks"], np.int64), np.frombuffer(row["counts"], np.uint32).astype(np.int64)
-        bits = np.unpackbits(np.frombuffer(row["held"], np.uint8), count=int(counts.sum())).astype(bool)
-        sources = np.frombuffer(row["sources"], np.int64)
-        ends = np.cumsum(counts)
-        said = np.concatenate([[0], np.cumsum(bits)])
-        for i, m, a, b in zip(ids.tolist(), marks.tolist(), (ends - counts).tolist(), ends.tolist(), strict=True):
-            out.setdefault((i, m), []).append((row["block"], bits[a:b], sources[said[a] : said[b]]))
-    return out
-
-
-def factors(n_windows: int, where: np.ndarray, answers: list[tuple], blocks: int, width: int) -> tuple[list[dict], np.ndarray]:
-    """Greedy factors (start, end, source) in words, end exclusive, and the mask of covered words."""
-    order = np.argsort(where, kind="stable")
-    cuts = _cuts(where[order], blocks)
-    source = np.zeros(n_windows, np.int64)
-    held = np.zeros(n_windows, bool)
-    for block, bits, sources in answers:
-        at = order[cuts[block] : cuts[block + 1]][bits]
-        held[at] = True
-        source[at] = sources
-    at = np.flatnonzero(held)
-    first = np.concatenate([[True], (np.diff(at) > 1) | (source[at[1:]] != source[at[:-1]])])
-    last = np.append(np.flatnonzero(first)[1:] - 1, len(at) - 1)
-    spans = [{"start": int(a), "end": int(b) + width, "source": int(s)} for a, b, s in zip(at[first], at[last], source[at[first]], strict=True)]
-    cover = np.zeros(n_windows + width, np.int64)
-    cover[at] += 1
-    cover[at + width] -= 1
-    return spans, np.cumsum(cover)[:-1] > 0
-
-
-_PARSED = "doc_id bigint, n_words bigint, n_removed bigint, kept_text string, factors array<struct<start:bigint,end:bigint,source:bigint>>"
+_FACTOR = [("start", pa.int64()), ("end", pa.int64()), ("source", pa.int64()), ("source_start", pa.int64())]
+_PARSED = "doc_id bigint, n_words bigint, n_removed bigint, kept_text string, factors array<struct<start:bigint,end:bigint,source:bigint,source_start:bigint>>"
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, blocks: int | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text and factors of each row of docs."""
-    n_blocks = blocks or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
-    dealt = texts.withColumn("batch", F.pmod(F.xxhash64("doc_id", "mark"), F.lit(BATCHES * n_blocks)).cast("int")).groupBy("batch")
-    answers = dealt.applyInArrow(_messages(width, n_blocks), _MESSAGE).groupBy("block").applyInArrow(_answers, _ANSWER)
+    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    if not blocks:
+        n_bytes = texts.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
+        blocks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-n_bytes // BATCH_BYTES))
+    marked = texts.withColumn("mark", F.xxhash64("text"))
+    dealt = marked.withColumn("batch", F.pmod(F.xxhash64("doc_id", "mark"), F.lit(blocks)).cast("int")).repartition(blocks, "batch").groupBy("batch")
+    answers = dealt.applyInArrow(_messages(width, blocks), _MESSAGE).repartition(blocks, "block").groupBy("block").applyInArrow(_answers, _ANSWER)
 
     def parse(own: pa.Table, answered: pa.Table) -> pa.Table:
-        known = _by_document(answered)
-        rows = []
-        for name, mark, text in zip(*(own.column(c).to_pylist() for c in ("doc_id", "mark", "text")), strict=True):
-            if got := known.get((name, mark)):
-                words, hashes, where = windows(text, width, n_blocks)
-                spans, gone = factors(len(hashes), where, got, n_blocks, width)
-                rows.append((name, len(words), int(gone.sum()), b" ".join(itertools.compress(words, (~gone).tolist())), spans))
-            else:
-                words = text.encode("utf-8", "surrogatepass").split()
-                rows.append((name, len(words), 0, b" ".join(words), []))
-        cols = list(zip(*rows, strict=True)) or [()] * 5
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("source", pa.int64())]))]
+        rows = _rows(own)
+        batch = _batch(rows, width, blocks)
+        for r in answered.to_pylist():
+            batch.learn(r["block"], r["held"], r["sources"], r["places"])
+        number = {doc: k for k, doc in enumerate(batch.docs)}
+        out = []
+        for row in rows:
+            k = number.get(row)
+            words = row[2].encode("utf-8", "surrogatepass").split() if k is None else batch.words[k]
+            spans, gone = ([], np.zeros(len(words), bool)) if k is None else batch.parsed(k)
+            kept = itertools.compress(words, (~gone).tolist()) if gone.any() else words
+            out.append((row[0], len(words), int(gone.sum()), b" ".join(kept), [dict(zip(("start", "end", "source", "source_start"), x, strict=True)) for x in spans]))
+        cols = list(zip(*out, strict=True)) or [()] * 5
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.struct(_FACTOR))]
         table = pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "n_words", "n_removed", "kept_text", "factors"])
         return table.set_column(3, "kept_text", table.column("kept_text").cast(pa.string()))
 
-    return dealt.cogroup(answers.groupBy("batch")).applyInArrow(parse, _PARSED)
+    return dealt.cogroup(answers.repartition(blocks, "batch").groupBy("batch")).applyInArrow(parse, _PARSED)
 
 
 def op5_relative_lempel_ziv(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup(load(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), F.size("factors").alias("n_factors"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP5_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+win AS (
+  SELECT rid, doc_id, i, array_to_string(w[i:i + {WIDTH - 1}], ' ') AS gram
+  FROM (SELECT rid, doc_id, w, unnest(range(1, len(w) - {WIDTH - 2})) AS i FROM d WHERE len(w) >= {WIDTH})),
+first AS (SELECT gram, min(doc_id) AS least FROM win GROUP BY gram),
+held AS (SELECT rid, i FROM win JOIN first USING (gram) WHERE least < doc_id),
+gone AS (SELECT DISTINCT rid, i + k AS p FROM held, (SELECT unnest(range(0, {WIDTH})) AS k)),
+removed AS (SELECT rid, count(*) AS n FROM gone GROUP BY rid),
+word AS (SELECT rid, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT rid, string_agg(x, ' ' ORDER BY p) AS said FROM word ANTI JOIN gone USING (rid, p) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(said, '')) AS kept_sha256
+FROM d LEFT JOIN removed USING (rid) LEFT JOIN kept USING (rid)
+"""

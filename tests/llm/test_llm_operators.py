@@ -158,9 +158,21 @@ def test_substrings(spark, docs, rows):
             if i is not None and first[tuple(w[k : k + 13])] < i:
                 gone.update(range(k, k + 13))
         wanted.append((i, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)))
-    got = substring_dedup.substring_dedup(at)
-    assert sorted((r[:4] for r in collected(got)), key=str) == sorted(wanted, key=str)
-    assert got.where("doc_id = 501").first().factors == [(2, 42, 500)]
+    of_id = {}
+    for i, t in every:
+        of_id.setdefault(i, []).append(WORD.findall(t or ""))
+    for blocks in (None, 7):
+        got = collected(substring_dedup.substring_dedup(at, blocks=blocks))
+        assert sorted((r[:4] for r in got), key=str) == sorted(wanted, key=str)
+        assert [r[4] for r in got if r[0] == 501] == [[(2, 42, 500, 1)]]
+        assert [r[4] for r in got if r[0] == 503] == [[(0, 40, 500, 1), (40, 80, 500, 1)]]
+        for i, n, *_, found in got:
+            ends = 0
+            for start, end, source, source_start in found:
+                assert ends <= start and end - start >= 13 and source < i
+                ends = end
+                own = next(w for w in of_id[i] if len(w) == n)
+                assert any(own[start:end] == w[source_start : source_start + end - start] for w in of_id[source])
 
 
 BASE_PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}

@@ -48,7 +48,7 @@ class _Encoder:
     def _bpe(self, pretoken: str) -> list[int]:
         return [t.id for t in self.model.tokenize(pretoken.encode().decode("latin-1").translate(self.alphabet))]
 
-    def _whole(self, chunk: str) -> list[int]:
+    def whole(self, chunk: str) -> list[int]:
         return self.library.encode_batch_fast([chunk], add_special_tokens=False)[0].ids
 
 
@@ -69,7 +69,7 @@ class IdEncoder(_Encoder):
 
     def _spaced(self, key: str) -> bytes:
         if key[:1] == "\n":
-            out = self._pack(self._whole(key))
+            out = self._pack(self.whole(key))
         elif plain := _PLAIN.match(key):
             stem, marks = plain.groups()
             out = self.memo.get(stem) or self._pack(self._bpe(" " + stem))
@@ -81,7 +81,7 @@ class IdEncoder(_Encoder):
                     self.marks[marks] = self._pack(self._bpe(marks))
                 out += self.marks[marks]
         else:
-            out = self._pack(self._whole(" " + key))
+            out = self._pack(self.whole(" " + key))
         self.memo[key] = out
         return out
 
@@ -90,7 +90,7 @@ class IdEncoder(_Encoder):
         if out is None:
             if len(self.exact) > self.limit:
                 self.exact.clear()
-            out = self.exact[chunk] = self._pack(self._whole(chunk))
+            out = self.exact[chunk] = self._pack(self.whole(chunk))
         return out
 
     def encode(self, text: str) -> bytes:
@@ -98,7 +98,7 @@ class IdEncoder(_Encoder):
         if not text:
             return b""
         if any(x in text for x in self.special):  # the library cuts there before all else
-            return self._pack(self._whole(text))
+            return self._pack(self.whole(text))
         if text[-1] in " \n" or any(x in text for x in _IRREGULAR):
             return b"".join([self._exactly(c) for c in _PIECES.findall(text)])
         if len(self.memo) > self.limit:
@@ -129,7 +129,7 @@ class CountEncoder(_Encoder):
                 self.marks[marks] = len(self._bpe(marks)) if marks else 0
             n += self.marks[marks]
         else:
-            n = len(self._whole(key))
+            n = len(self.whole(key))
         self.memo[key] = n
         return n
 

@@ -13,8 +13,9 @@ def _stars(links: DataFrame, large: bool) -> DataFrame:
     both = links.select("a", "b")
     if large:
         both = both.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    hung = both.join(least.repartition("a"), "a")
+    # written, as a side that comes straight from a shuffle of its own keeps adaptive execution from splitting a hot key
+    least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least-neighbours")
+    hung = both.join(least, "a")
     if large:
         out = hung.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -25,9 +26,9 @@ def _stars(links: DataFrame, large: bool) -> DataFrame:
 def components(links: DataFrame, name: str = "components") -> DataFrame:
     """(a, b) links of bigints to (node, root): the least node that each node reaches; roots have no row.
 
-    A round costs joins of the links with their aggregated minima, whose hot
-    keys adaptive execution can split, and rounds grow with the logarithm of a
-    component's width. Only counts come to the driver.
+    A round costs joins of the links with their written minima, a plain join whose
+    hot keys adaptive execution splits, and rounds grow with the logarithm of a
+    component's width. Only counts come to the driver. An empty table gives one.
     """
     now = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), name)
     before = None

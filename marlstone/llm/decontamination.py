@@ -31,6 +31,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.llm.bit_table import BitTable
 from marlstone.llm.common import few, let, load, written
 
 #: Both masks span ten tokens and read seven or eight of them.
@@ -45,8 +46,6 @@ LEAST_MATCHED = 12
 #: Numerator and denominator of the least share of equal tokens in an overlap.
 LEAST_SHARE = (4, 5)
 BLOCK_SEEDS = 2_000_000
-#: Bits of a table for each hash, before rounding up to a power of two.
-TABLE_BITS = 48
 
 
 def tokens(text: Column) -> Column:
@@ -81,31 +80,6 @@ def item_seeds(own: Column) -> Column:
     return out
 
 
-class BitTable:
-    """Two bits for each hash in an array of bigints, as a one-row table."""
-
-    def __init__(self, hashes: DataFrame):
-        own = written(hashes.distinct(), "benchmark-hashes")
-        self.bits = 1 << max(12, int(own.count() * TABLE_BITS - 1).bit_length())
-        at = own.select(F.explode(F.array(F.col("hash"), F.shiftrightunsigned("hash", 32))).alias("h")).select(F.col("h").bitwiseAND(F.lit(self.bits - 1)).alias("at"))
-        word = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(self._bit(F.col("at"))).alias("bits"))
-        whole = own.sparkSession.range(self.bits // 64).withColumnRenamed("id", "word").join(word, "word", "left").select("word", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits"))
-        self.table = written(whole.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda x: x["bits"]).alias("words")), "benchmark-bits")
-
-    @staticmethod
-    def _bit(at: Column) -> Column:
-        return F.call_function("shiftleft", F.lit(1).cast("bigint"), at.bitwiseAND(F.lit(63)).cast("int"))
-
-    def holds(self, words: Column, h: Column) -> Column:
-        """True if both bits of a hash are set; words: the table's array."""
-
-        def at(x: Column) -> Column:
-            place = x.bitwiseAND(F.lit(self.bits - 1))
-            return F.get(words, F.shiftright(place, 6).cast("int")).bitwiseAND(self._bit(place)) != 0
-
-        return at(h) & at(F.shiftrightunsigned(h, 32))
-
-
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> list[DataFrame]:
     """(item_id, item) in blocks whose seeds are counted."""
     items = benchmark.select(F.col(item_col).alias("item_id"), tokens(F.col(text_col)).alias("item")).where(F.size("item") >= LEAST_ITEM)
@@ -147,7 +121,7 @@ def _hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     index = written(items.select("item_id", F.inline(let(F.col("item"), item_seeds))).withColumnRenamed("place", "item_at"), "benchmark-seeds")
     spans = sorted({m for (m,) in index.select("mask").distinct().collect()})  # at most as many as there are masks
     heads = items.select(F.explode(let(F.col("item"), lambda w: F.transform(F.when(F.size(w) < SPAN, F.array(F.lit(0))).otherwise(_places(w, SPAN)), lambda i: _pair(w, i)))).alias("hash"))
-    pairs, hashes = BitTable(heads), BitTable(index.select("hash"))
+    pairs, hashes = BitTable(heads, "benchmark-pairs"), BitTable(index.select("hash"), "benchmark-seeds")
 
     def passing(w: Column) -> Column:
         # nearly all places fail on their first two tokens

@@ -10,10 +10,11 @@ tree is two window functions over a table of tree nodes.
 
 A leaf takes documents in seeded epochs: each epoch orders them by the MD5 of
 seed, epoch and id, whole epochs are taken first, and the last one up to the
-budget. The cut is found by summing tokens over 4,096 ranges of the hash and then
-only inside the range where the budget ends, so no leaf is ever sorted whole,
-however large its share of the corpus. A cut is one hash, so choosing documents
-is a filter that never shuffles texts.
+budget. The cut is found by summing tokens over 256 ranges of the hash, then over
+256 parts of the range where the budget ends, and once more; only the documents
+of the last part are sorted, so a leaf that holds most of the corpus costs a task
+no more rows than others. A cut is one hash, so choosing documents is a filter
+that never shuffles texts.
 
 Defined results: null domain, language or source count as ''. A null text has no
 tokens. Rows with the same id share their place: all are taken or none. Leaves
@@ -27,7 +28,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import load, written
+from marlstone.llm.common import few, load, written
 
 LEVELS = ("domain", "lang", "source")
 DOMAINS = ("web", "news", "books", "forum")
@@ -35,8 +36,10 @@ DOMAINS = ("web", "news", "books", "forum")
 WEIGHTS: Mapping[tuple[str, ...], float] = {("web",): 3.0, ("news",): 2.0, **{(d, "en"): 4.0 for d in DOMAINS}, **{(d, x): 2.0 for d in DOMAINS for x in ("de", "es")}}
 SEED = 11
 MAX_EPOCHS = 2
-#: Tree nodes up to which the plan is broadcast to the documents.
-BROADCAST_LEAVES = 200_000
+#: Bytes of a leaf in a broadcast.
+LEAF_BYTES = 300
+#: Hexadecimal digits of a range of the hash, and how often the range in which a budget ends is divided again.
+RANGE_DIGITS, RANGE_LEVELS = 2, 3
 
 
 def domain_of(source: Column) -> Column:
@@ -98,19 +101,22 @@ def plan(docs: DataFrame, seed: int = SEED, total: float | None = None, max_epoc
     # an epoch is whole if its tokens fit; a leaf without tokens has one
     at = at.withColumn("epochs", F.when(F.col("n_tokens") == 0, F.lit(1)).otherwise(F.floor(F.try_divide(F.col("given"), F.col("n_tokens")))).cast("int"))
     at = written(at.withColumn("rest", F.when(F.col("n_tokens") == 0, F.lit(0)).otherwise(F.col("given") - F.col("epochs") * F.col("n_tokens")).cast("bigint")), "budgets")
-    few = F.broadcast(at) if at.count() <= BROADCAST_LEAVES else at
-    last = docs.join(few.select(*LEVELS, "epochs", "rest"), list(LEVELS)).withColumn("place", place(F.col("epochs"), F.col("doc_id"), seed)).withColumn("range", F.substring("place", 1, 3))
-    sums = last.groupBy(*LEVELS, "range", "rest").agg(F.sum("n_tokens").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("range"))
-    edges = sums.withColumn("upto", upto).where("upto > rest")
-    edges = written(edges.groupBy(*LEVELS, "rest").agg(F.min(F.struct("range", (F.col("upto") - F.col("n")).alias("before"))).alias("e")).select(*LEVELS, F.col("e.range").alias("edge"), F.col("e.before").alias("before")), "edges")
-    few = F.broadcast(edges) if edges.count() <= BROADCAST_LEAVES else edges
-    inside = last.join(few, list(LEVELS)).where(F.col("range") == F.col("edge"))
-    taken = inside.withColumn("upto", F.col("before") + F.sum("n_tokens").over(Window.partitionBy(*LEVELS).orderBy("place"))).where("upto <= rest")
-    cuts = taken.groupBy(*LEVELS).agg(F.max("place").alias("inner"))
+    at_leaf = few(at, LEAF_BYTES)
+    last = docs.join(at_leaf.select(*LEVELS, "epochs", "rest"), list(LEVELS)).where("rest > 0")
+    inside = last.select(*LEVELS, place(F.col("epochs"), F.col("doc_id"), seed).alias("place"), "n_tokens", F.col("rest").alias("wanted"))
+    # the range of hashes in which the budget ends, then the range of that range, and so on
+    for level in range(RANGE_LEVELS):
+        inside = inside.withColumn("range", F.substring("place", RANGE_DIGITS * level + 1, RANGE_DIGITS))
+        sums = inside.groupBy(*LEVELS, "wanted", "range").agg(F.sum("n_tokens").alias("n"))
+        upto = F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("range"))
+        edges = sums.withColumn("upto", upto).where("upto > wanted").groupBy(*LEVELS).agg(F.min(F.struct("range", (F.col("wanted") - F.col("upto") + F.col("n")).alias("left"))).alias("e"))
+        edges = few(written(edges.select(*LEVELS, F.col("e.range").alias("edge"), F.col("e.left").alias("left")), f"edges-{level}"), LEAF_BYTES)
+        inside = written(inside.drop("wanted").join(edges, list(LEVELS)).where(F.col("range") == F.col("edge")).select(*LEVELS, "place", "n_tokens", F.col("left").alias("wanted"), F.substring("place", 1, RANGE_DIGITS * (level + 1)).alias("first")), f"range-{level}")
+    order = Window.partitionBy(*LEVELS).orderBy("place")
+    ends = inside.withColumn("upto", F.sum("n_tokens").over(order)).groupBy(*LEVELS).agg(F.max(F.when(F.col("upto") <= F.col("wanted"), F.col("place"))).alias("inner"), F.min("first").alias("edge"))
     # ranges before the edge are taken whole: all hashes below it
-    cut = F.coalesce("inner", F.col("edge"), F.lit(""))
-    return at.join(edges, list(LEVELS), "left").join(cuts, list(LEVELS), "left").select(*LEVELS, "n_docs", "n_tokens", "given", "epochs", "rest", cut.alias("cut"))
+    cut = F.coalesce("inner", "edge", F.lit(""))
+    return at.join(ends, list(LEVELS), "left").select(*LEVELS, "n_docs", "n_tokens", "given", "epochs", "rest", cut.alias("cut"))
 
 
 def leaf_columns(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> dict[str, Column]:
@@ -125,10 +131,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", seed: int = SEED, total: float
     narrow = written(docs.select(F.col(id_col).alias("doc_id"), *[c.alias(k) for k, c in own.items()]), "leaf-tokens")
     chosen = written(plan(narrow, seed, total, max_epochs), "mixing-plan").select(*[F.col(k).alias(f"__{k}") for k in LEVELS], "epochs", "cut", F.col("n_tokens").alias("all_tokens"))
     chosen = chosen.select(*[f"__{k}" for k in LEVELS], F.struct("epochs", "cut").alias("__plan"))
-    few = F.broadcast(chosen) if chosen.count() <= BROADCAST_LEAVES else chosen
+    chosen = few(chosen, LEAF_BYTES)
     names = docs.columns if carry is None else carry
     at = docs.select(*[F.col(c) for c in names], F.col(id_col).alias("__id"), *[own[k].alias(f"__{k}") for k in ("domain", "n_tokens")], own["lang"].alias("__lang"), own["source"].alias("__source"))
-    at = at.join(few, [f"__{k}" for k in LEVELS])
+    at = at.join(chosen, [f"__{k}" for k in LEVELS])
     epochs = F.concat(
         F.when(F.col("__plan.epochs") > 0, F.sequence(F.lit(0), F.greatest(F.col("__plan.epochs") - 1, F.lit(0)))).otherwise(F.array().cast("array<int>")),
         F.when(place(F.col("__plan.epochs"), F.col("__id"), seed) <= F.col("__plan.cut"), F.array(F.col("__plan.epochs"))).otherwise(F.array().cast("array<int>")),

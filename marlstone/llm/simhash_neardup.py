@@ -17,8 +17,10 @@ the number of fingerprints, and holds for t = 2; for a larger t buckets are
 joined in full.
 
 Defined results: a text without words has fingerprint zero and links like any
-other; null texts have no words; repeated rows are copies. A null id is nobody's
-component_id unless its whole component has null ids.
+other; null texts have no words; texts of any length are hashed whole; repeated
+rows are copies and each have a row. A null id is nobody's component_id unless its
+whole component has null ids. An empty table gives no rows. Only id and text are
+read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import load, written
@@ -38,19 +40,23 @@ BITS = 64
 DENSE = 48
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """Majority bits of the XXH64 (seed 42) of all word shingles, A-Z lowered."""
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """XXH64 (seed 42) of all word shingles, repeats included, A-Z lowered; fewer words are one shingle, none has none."""
     import xxhash
 
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z, and six white-space characters
     if not w:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(w)
     width = min(width, len(w))
     ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])[: len(w) - width + 1].tolist()
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(joined[a:b], 42) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True)], "<u8")
+    return np.array([digest(joined[a:b], 42) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True)], "<u8")
+
+
+def majority(h: np.ndarray) -> int:
+    """Bits that are set in over half of the hashes."""
     ones = np.zeros(BITS, np.int64)
     for k in range(0, len(h), 1 << 15):
         part = h[k : k + (1 << 15)]
@@ -58,6 +64,10 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, width: int = 3) -> int:
+    return majority(shingle_hashes(text, width))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """doc_id and fp, the fingerprint as a signed number."""
 
@@ -78,6 +88,18 @@ def ring(segments: int, distance: int) -> tuple[list[list[int]], list[int]]:
     return masks, [n * distance // segments for n in range(1, segments + 1)]
 
 
+def chains_hold(a: Column, b: Column, segments: int, distance: int, start: Column | None = None) -> Column:
+    """True if from some segment (or from this one) every chain of fingerprints a and b keeps its budget; the whole ring is the last chain."""
+    masks, budget = ring(segments, distance)
+    differ, any_start = a.bitwiseXOR(b), F.lit(False)
+    for i in range(segments):
+        held = F.lit(True) if start is None else start == i
+        for n in range(segments):
+            held = held & (F.bit_count(differ.bitwiseAND(F.lit(masks[i][n]))) <= budget[n])
+        any_start = any_start | held
+    return any_start
+
+
 def near_links(fps: DataFrame, distance: int = 2, segments: int = 5, dense: int = DENSE) -> DataFrame:
     """Links (a, b) that connect all fingerprints of fps (distinct, fp) within distance of each other."""
     masks, budget = ring(segments, distance)
@@ -86,23 +108,12 @@ def near_links(fps: DataFrame, distance: int = 2, segments: int = 5, dense: int
         raise ValueError("a ring needs more segments than the distance")
     starts = F.array(*[F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(masks[i][free - 1])).alias("key")) for i in range(segments)])
     keyed = fps.select("fp", F.inline(starts))
-    shared = keyed.groupBy("i", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = written(keyed.join(shared.repartition("i", "key"), ["i", "key"]), "ring-buckets")
+    shared = written(keyed.groupBy("i", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "ring-keys")
+    rows = written(keyed.join(shared, ["i", "key"]), "ring-buckets")
     hot = F.col("n") > dense if distance == 2 else F.lit(False)
 
-    def within(a: Column, b: Column) -> Column:
-        """Every longer chain keeps its budget; the last one is the full check."""
-        differ = a.bitwiseXOR(b)
-        at = F.lit(False)
-        for i in range(segments):
-            held = F.col("i") == i
-            for n in range(free, segments):
-                held = held & (F.bit_count(differ.bitwiseAND(F.lit(masks[i][n]))) <= budget[n])
-            at = at | held
-        return at
-
     cold = rows.where(~hot)
-    pairs = cold.select("i", "key", F.col("fp").alias("a")).join(cold.select("i", "key", F.col("fp").alias("b")), ["i", "key"]).where(F.col("a") < F.col("b")).where(within(F.col("a"), F.col("b"))).select("a", "b").distinct()
+    pairs = cold.select("i", "key", F.col("fp").alias("a")).join(cold.select("i", "key", F.col("fp").alias("b")), ["i", "key"]).where(F.col("a") < F.col("b")).where(chains_hold(F.col("a"), F.col("b"), segments, distance, F.col("i"))).select("a", "b").distinct()
     if distance != 2:
         return pairs
     points = F.filter(
@@ -121,20 +132,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     roots = components(near_links(own.select("fp"), distance, segments, dense), "fingerprint-links")
     rooted = own.join(roots, own["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = written(rooted.join(named.repartition("root"), "root").select("fp", "component_id"), "fingerprint-components")
+    named = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "component-names")
+    of_fp = written(rooted.join(named, "root").select("fp", "component_id"), "fingerprint-components")
     return prints.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings: int) -> DataFrame:
-    """The row with the least id of each component, with all its columns; of rows that share that id, one."""
-    found = near_duplicates(docs, id_col, text_col, **settings)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep")).distinct()
-    at = docs.join(keep, docs[id_col].eqNullSafe(keep["__keep"]), "left_semi")
-    order = Window.partitionBy(id_col).orderBy(text_col, F.xxhash64(*[c for c in docs.columns]))
-    return at.withColumn("__row", F.row_number().over(order)).where("__row = 1").select(*docs.columns)
-
-
 def op7_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(load(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

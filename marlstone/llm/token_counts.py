@@ -2,13 +2,23 @@
 
 Texts are keyed by the SHA-256 of their normalised content and by the digest of
 the tokenizer's file. A stored count answers for every text with that key; only
-one text of each key that has none is encoded, and its count is appended.
-Normalising makes each run of ASCII white space one space and trims; the
-vocabularies that this operator is for drop white space, so counts are equal.
-
-Skew: copies meet only as 40-byte keys, aggregated before they are shuffled;
-texts of copies are told apart in place. Defined results: a null text counts as
-empty (no tokens); repeated rows and repeated or null ids each keep their row.
+one text of each key that has none is encoded, and its count is appended; all
+counts are then read from the cache. Normalising makes each run of ASCII white
+space one space and trims; a tokenizer must give equal counts for that, which is
+tested before anything is counted.
+
+Texts stay where they are read: which rows to leave out is decided on digests, and
+a bit table of them clears all other rows in place. Only rows that the table holds
+(copies, known texts, and one in a thousand others) are compared with the rows to
+leave out themselves. The table is bounded, so on a corpus with over ten million
+rows to leave out it clears fewer, and at worst each text is shuffled once.
+
+Skew: copies meet only as 40-byte keys, aggregated before they are shuffled, and
+the rows of a hot key are joined with a written table, which adaptive execution
+splits. Defined results: a null text counts as empty (no tokens); texts of any
+length are counted whole; repeated rows and repeated or null ids each keep their
+row. An empty table gives no rows and appends nothing to the cache. Only the two
+named columns are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -21,12 +31,13 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.llm.bit_table import BitTable
 from marlstone.llm.chunk_encoder import CountEncoder, encoder
 from marlstone.llm.common import load, scratch, written
 
 CACHE = "tokenizer string, digest binary, n_tokens bigint"
-#: Beyond so many rows, the keys of copies are joined by a shuffle.
-BROADCAST_ROWS = 400_000
+#: Texts whose counts may not depend on white space: what content_digest() takes for equal.
+PROBES = (("a b", " a \n\tb "), ("One, two.", "One,\r\ntwo.  "), ("été 12 x", "été\x0b12\x0c x"))
 
 
 def content_digest(text: Column) -> Column:
@@ -47,23 +58,36 @@ def read_cache(spark: SparkSession, path: str, version: str) -> DataFrame:
     return kept.where(F.col("tokenizer") == version).select("digest", "n_tokens")
 
 
+def _checked(tokenizer_path: str) -> str:
+    """The tokenizer's digest; an error if white space counts."""
+    counter = encoder(CountEncoder, tokenizer_path)
+    if any(len(counter.whole(x)) != len(counter.whole(y)) for x, y in PROBES):
+        raise ValueError("digests of normalised content need a tokenizer that drops white space")
+    return tokenizer_digest(tokenizer_path)
+
+
 def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes and n_tokens for each row of docs; cache_path gains what was missing."""
     spark = docs.sparkSession
-    version = tokenizer_digest(tokenizer_path)
+    version = _checked(tokenizer_path)
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("digest", content_digest(F.col("text")))
     keyed = written(texts.select("doc_id", "digest", F.octet_length("text").cast("bigint").alias("n_bytes")), "digests")
     known = read_cache(spark, cache_path, version)
     # One row stands for each missing digest; the other rows that have it, or a known one, are left out.
-    holders = keyed.groupBy("digest").agg(F.min("doc_id").alias("holder"), F.count(F.lit(1)).alias("n"))
+    holders = written(keyed.groupBy("digest").agg(F.min("doc_id").alias("holder"), F.count(F.lit(1)).alias("n")).where("n > 1"), "holders")
     left_out = written(
-        keyed.join(holders.where("n > 1").repartition("digest"), "digest").where(~F.col("doc_id").eqNullSafe(F.col("holder"))).select("digest", "doc_id")
+        keyed.join(holders, "digest").where(~F.col("doc_id").eqNullSafe(F.col("holder"))).select("digest", "doc_id")
         .unionByName(keyed.join(known, "digest", "left_semi").select("digest", "doc_id")),
         "left-out",
     )
-    few = left_out.count() <= BROADCAST_ROWS
-    skip = (F.broadcast(left_out) if few else left_out).alias("skip")
-    misses = texts.alias("at").join(skip, (F.col("at.digest") == F.col("skip.digest")) & F.col("at.doc_id").eqNullSafe(F.col("skip.doc_id")), "left_anti").select("at.digest", "at.text")
+    table = BitTable(left_out.select(F.xxhash64("digest").alias("hash")), "left-out")
+    at = texts.select("*", table.table.scalar().alias("words"))
+    maybe = table.holds(F.col("words"), F.xxhash64("digest"))
+    skip = left_out.alias("skip")
+    held = at.where(maybe).select("doc_id", "digest", "text").alias("at")
+    misses = at.where(~maybe).select("digest", "text").unionByName(
+        held.join(skip, (F.col("at.digest") == F.col("skip.digest")) & F.col("at.doc_id").eqNullSafe(F.col("skip.doc_id")), "left_anti").select("at.digest", "at.text")
+    )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = encoder(CountEncoder, tokenizer_path)
@@ -77,8 +101,9 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col:
     return keyed.join(stored, "digest", "left").select("doc_id", "n_bytes", "n_tokens")
 
 
-def op2_token_counts(spark: SparkSession, sf_dir: str, max_tokens: int = 2048) -> DataFrame:
+def op2_token_counts(spark: SparkSession, sf_dir: str, max_tokens: int = 2048, cache_path: str | None = None) -> DataFrame:
+    """cache_path: where counts are kept from run to run; a new one if None, so that a run's work does not depend on earlier ones."""
     import public_tokenizers
 
-    counts = token_counts(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), scratch(spark, "token-counts"))
+    counts = token_counts(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), cache_path or scratch(spark, "token-counts"))
     return counts.withColumn("over_limit", F.col("n_tokens") > max_tokens)

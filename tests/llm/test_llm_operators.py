@@ -132,13 +132,6 @@ def test_fingerprint_by_bits():
     assert simhash_neardup.fingerprint(None) == simhash_neardup.fingerprint(" ") == 0
 
 
-def test_drop_keeps_one_row(docs):
-    kept = simhash_neardup.drop_near_duplicates(docs)
-    assert kept.columns == docs.columns
-    ids = [r.doc_id for r in kept.collect()]
-    assert len(ids) == len(set(ids)) and 6 not in ids
-
-
 def test_substrings(spark, docs, rows):
     shared = " ".join(f"p{k}" for k in range(40))
     more = [(500, f"start {shared} end"), (501, f"other words {shared}"), (502, shared[:60]), (503, f"{shared} {shared}")]

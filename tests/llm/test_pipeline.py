@@ -6,13 +6,13 @@ import duckdb
 import numpy as np
 import public_tokenizers
 from conftest import SF
+from test_similar_sets import kept
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from marlstone.llm.decontamination import OP4_SQL
 from marlstone.llm.mixing import OP8_SQL
 from marlstone.llm.quality_rules import OP9_SQL
-from marlstone.llm.simhash_neardup import fingerprint
 
 
 def test_run(spark):
@@ -25,19 +25,7 @@ def test_run(spark):
         c.execute("CREATE OR REPLACE TABLE documents AS SELECT * FROM documents SEMI JOIN ids USING (doc_id)")
 
     keep([i for (i,) in c.execute(f"SELECT doc_id FROM ({OP9_SQL}) WHERE kept").fetchall()])
-    docs = sorted(c.execute("SELECT doc_id, text FROM documents").fetchall())
-    v, root = np.array([fingerprint(t) for _, t in docs], np.uint64), list(range(len(docs)))
-
-    def find(k):
-        while root[k] != k:
-            k = root[k]
-        return k
-
-    for a in range(len(docs)):
-        for b in np.flatnonzero(np.bitwise_count(v ^ v[a]) <= 2).tolist():
-            x, y = find(a), find(b)
-            root[max(x, y)] = min(x, y)
-    keep([i for k, (i, _) in enumerate(docs) if find(k) == k])
+    keep(kept(sorted(c.execute("SELECT doc_id, text FROM documents").fetchall()))[0])
     bad = {i for (i,) in c.execute(f"SELECT doc_id FROM ({OP4_SQL})").fetchall()}
     keep([i for (i,) in c.execute("SELECT doc_id FROM documents").fetchall() if i not in bad])
     whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))

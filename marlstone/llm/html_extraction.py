@@ -5,16 +5,27 @@ grouped by their root-to-leaf tag path (block elements with their classes and
 ids; inline elements do not open paths). Each path has two ratios, text length
 and punctuation for each of its blocks; both are smoothed over neighbouring paths
 in page order, fused by their product, and reduced by the path's share of link
-text. Paths above a share of the page's weighted mean are content. The content
-node is the deepest element that leaves no content block or heading out, and what it holds
-is the article, short paragraphs and headings with it, except subtrees that their
-element, role or name marks as something else (menus, adverts, comments, ...).
+text and by names on it that speak of something else (menus, adverts, comments).
+Names are evidence like the others: they lower a score and decide nothing. Paths
+above a share of the page's weighted mean are content.
+
+Blocks of other paths are headings, captions, short paragraphs and lists, or what
+surrounds an article. A block is taken with the largest element around it that
+holds no content. Where content stands beside that element, in the same parent,
+the element belongs to the article unless it is mostly links or bears such a name;
+where content only stands deeper, it belongs to it only as a heading that content
+follows. Elements that are no article text by themselves (nav, footer, form, ...)
+and what is not shown never take part. There is no rule for article or main.
 
 Unclosed and misnested tags follow the usual rules: a paragraph ends where a
 block starts, list items and table cells end where the next one starts.
 
-Defined results: a null or empty page gives empty text; repeated rows each keep
-a row; page_id and url pass as they are. Nothing is shuffled.
+Defined results: a null or empty page gives empty text, and so does one without
+text; pages, attribute values and character references of any length are read
+whole, references to no character give U+FFFD; repeated rows each keep a row, and
+no row depends on another; an empty table gives no rows; page_id and url pass as
+they are and other columns are not read, whatever their names. Nothing is
+shuffled.
 """
 
 from __future__ import annotations
@@ -43,29 +54,40 @@ BLOCKS = (
 ).split()
 VOID = "area base br col embed hr img input link meta param source track wbr".split()
 ROLES = "navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split()
-#: Words in a class or id that mark a subtree as something else.
+#: Words of classes and ids that speak of something else than an article.
 NAMES = (
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay "
+    "ad ads advert adverts advertisement advertising sponsor sponsors sponsored promo promotion banner cookie cookies consent gdpr notice notices alert alerts popup modal overlay "
     "nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead topbar header comment comments reply replies disqus respond discussion "
-    "share sharing social related recommended recommendations newsletter subscribe subscription signup login paywall widget pagination pager toolbar skip hidden"
+    "share sharing social related recommended recommendations newsletter subscribe subscription signup login paywall pagination pager toolbar"
 ).split()
+#: Words that say nothing by themselves; a class of names and of these is a name, one with any other word is not.
+PLAIN = "area bar block body bottom box button buttons card cell col column container content group icons inner item items left link links list main area outer panel post posts right row section slot stories thread top unit widget wrap wrapper x".split()
+#: What a path with such a name keeps of its score.
+NAMED = 0.1
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"thead", "tbody"}, "tfoot": {"tbody"}, "p": {"p"}}
 _STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "tfoot": {"table"}}
-_RAW_SET, _ASIDE_SET, _BLOCK_SET, _VOID_SET, _ROLE_SET, _NAME_SET = map(frozenset, (RAW, ASIDE, BLOCKS, VOID, ROLES, NAMES))
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[^<>])*+)>", re.S)
-_ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style|itemprop)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_RAW_SET, _ASIDE_SET, _BLOCK_SET, _VOID_SET, _ROLE_SET, _NAME_SET, _PLAIN_SET = map(frozenset, (RAW, ASIDE, BLOCKS, VOID, ROLES, NAMES, PLAIN))
+#: Attributes: quoted values hold anything but their quote, unquoted ones end at white space; a quote inside one is part of it.
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[^>])*+)>", re.S)
+_ATTR = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?")
 _SPACE = re.compile(r"\s+")
 _WORDS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _MARKS = frozenset(".,;:!?…。，、；：！？")
+_ZEROS, _HUGE = re.compile(r"(&#[xX]?)0{7,}"), re.compile(r"&#(?:[1-9][0-9]{7,}|[xX][1-9a-fA-F][0-9a-fA-F]{6,});?")
 _ends: dict[str, re.Pattern] = {}
 
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-_LEAVES = frozenset("p li td blockquote pre dd".split())
+#: Elements that are not shown where they are open inside a page.
+_UNSHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+
+#: Elements that text of an article stands in; others are containers.
+_FLOW = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre figure figcaption details summary address hgroup center".split())
 
 SMOOTH = (0.25, 0.5, 0.25)
 THRESHOLD = 0.35
-COVER = 0.85
+#: Share of link text from which an element beside content is no part of it.
+MOST_LINKED = 0.5
 
 
 @dataclass
@@ -76,7 +98,7 @@ class Node:
     path: int  # equal for equal tag paths
     parent: int
     aside: bool
-    content: bool = False
+    named: bool
 
 
 @dataclass
@@ -86,23 +108,41 @@ class Block:
     linked: int = 0
 
     def text(self) -> str:
-        return _SPACE.sub(" ", html.unescape("".join(self.parts))).strip()
+        return _SPACE.sub(" ", decoded("".join(self.parts))).strip()
 
 
-def _marked(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
-    """True if the element starts something that is not article text."""
-    if tag in _ASIDE_SET or tag == "header" and not in_article:
-        return True
-    if attrs.get("role", "").lower() in _ROLE_SET or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower():
+def decoded(text: str) -> str:
+    """Character references decoded; html.unescape() refuses numbers of thousands of digits."""
+    if "&#" in text:
+        text = _HUGE.sub("\ufffd", _ZEROS.sub(r"\g<1>0", text))
+    return html.unescape(text)
+
+
+def _attributes(said: str) -> dict[str, str]:
+    out: dict[str, str] = {}
+    for name, *values in _ATTR.findall(said):
+        out.setdefault(name.lower(), next(filter(None, values), ""))  # the first of two counts
+    return out
+
+
+def _aside(tag: str, attrs: dict[str, str], parent: str) -> bool:
+    """True if the element itself is no article text, or is not shown."""
+    if tag in _ASIDE_SET or tag == "header" and parent in ("", "html", "body"):
         return True
-    if tag in ("html", "body", "main", "article", "h1", "p"):
-        return False
-    names = set(_WORDS.findall(_CAMEL.sub(" ", f"{attrs.get('class', '')} {attrs.get('id', '')}").lower()))
-    return bool(names & _NAME_SET) and not (in_article and names & {"header", "banner"} and not names & (_NAME_SET - {"header", "banner"}))
+    return attrs.get("role", "").lower() in _ROLE_SET or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or bool(_UNSHOWN.search(attrs.get("style", "")))
+
+
+def _named(attrs: dict[str, str]) -> bool:
+    """True if a class or the id speaks of something else."""
+    for token in (*attrs.get("class", "").split(), *attrs.get("id", "").split()):
+        own = set(_WORDS.findall(_CAMEL.sub(" ", token).lower()))
+        if own & _NAME_SET and own <= _NAME_SET | _PLAIN_SET:
+            return True
+    return False
 
 
 def parse(page: str) -> tuple[list[Node], list[Block]]:
-    nodes, blocks = [Node("", 0, -1, False)], []
+    nodes, blocks = [Node("", 0, -1, False, False)], []
     stack = [0]
     numbers: dict[tuple[int, str], int] = {}
     opened: Counter[str] = Counter()
@@ -186,23 +226,22 @@ def parse(page: str) -> tuple[list[Node], list[Block]]:
                 if own in _CLOSES[tag]:
                     close(k)
                     break
-        attrs = {a[0].lower(): a[1] or a[2] or a[3] for a in _ATTR.findall(m[3])} if m[3] else {}
+        attrs = _attributes(m[3]) if m[3] else {}
         up = nodes[stack[-1]]
-        inside = up.content or tag in ("article", "main") or attrs.get("role", "").lower() in ("main", "article") or attrs.get("itemprop") == "articleBody"
         label = tag + "".join(f".{x}" for x in attrs.get("class", "").split()) + (f"#{attrs['id']}" if attrs.get("id") else "")
         path = numbers.setdefault((up.path, label), len(numbers) + 1)
-        nodes.append(Node(tag, path, stack[-1], up.aside or _marked(tag, attrs, up.content), inside))
+        nodes.append(Node(tag, path, stack[-1], up.aside or _aside(tag, attrs, up.tag), up.named or _named(attrs)))
         stack.append(len(nodes) - 1)
         opened[tag] += 1
         now = None
     return nodes, blocks
 
 
-def content_paths(blocks: list[tuple[int, str, int]]) -> set[int]:
-    """Paths above the threshold, of (path, text, characters in links) of each block."""
+def content_paths(blocks: list[tuple[int, str, int, bool]]) -> set[int]:
+    """Paths above the threshold, of (path, text, characters in links, named) of each block."""
     paths: dict[int, list[float]] = {}
-    for path, text, linked in blocks:
-        p = paths.setdefault(path, [0, 0, 0, 0])
+    for path, text, linked, named in blocks:
+        p = paths.setdefault(path, [0, 0, 0, 0, named])
         p[0] += len(text)
         p[1] += sum(c in _MARKS for c in text)
         p[2] += 1
@@ -211,9 +250,11 @@ def content_paths(blocks: list[tuple[int, str, int]]) -> set[int]:
     ratio = [[paths[p][k] / paths[p][2] for p in order] for k in (0, 1)]
     pad = [[r[0], *r, r[-1]] for r in ratio] if order else [[], []]
     smooth = [[sum(w * r[i + k] for k, w in enumerate(SMOOTH)) for i in range(len(order))] for r in pad]
-    fused = {p: math.sqrt(smooth[0][i] * (1 + smooth[1][i])) * (1 - paths[p][3] / max(paths[p][0], 1)) ** 2 for i, p in enumerate(order)}
-    whole = sum(paths[p][0] for p in order)
-    mean = sum(fused[p] * paths[p][0] for p in order) / whole if whole else 0
+    fused = {p: math.sqrt(smooth[0][i] * (1 + smooth[1][i])) * (1 - paths[p][3] / max(paths[p][0], 1)) ** 2 * (NAMED if paths[p][4] else 1) for i, p in enumerate(order)}
+    # the mean is that of the paths without such names, where there are any
+    plain = [p for p in order if not paths[p][4]] or order
+    whole = sum(paths[p][0] for p in plain)
+    mean = sum(fused[p] * paths[p][0] for p in plain) / whole if whole else 0
     return {p for p in order if fused[p] >= THRESHOLD * mean}
 
 
@@ -221,39 +262,52 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     nodes, blocks = parse(page)
-    said = [(b.node, b.text(), b.linked) for b in blocks]
-    own = [(k, t, linked) for k, t, linked in said if t and not nodes[k].aside]
-    if any(nodes[k].content for k, _, _ in own):
-        own = [x for x in own if nodes[x[0]].content]
-    chosen = content_paths([(nodes[k].path, t, linked) for k, t, linked in own])
-    weight, needed, headed = [0] * len(nodes), [0] * len(nodes), [n.tag in _HEADINGS for n in nodes]
-    for k, n in enumerate(nodes):
-        headed[k] = headed[k] or k > 0 and headed[n.parent]
-    for k, t, linked in own:
-        if nodes[k].path in chosen:
-            weight[k] += max(len(t) - linked, 0)
-        needed[k] += nodes[k].path in chosen or headed[k]
-    for k in range(len(nodes) - 1, 0, -1):  # parents come before their children
-        weight[nodes[k].parent] += weight[k]
-        needed[nodes[k].parent] += needed[k]
-    # the deepest element with nearly all content text and with every block of content paths and every heading; an article goes before its parts
-    root = 0
-    heavy = {n.parent: k for k, n in enumerate(nodes) if k and weight[0] and weight[k] >= COVER * weight[0] and needed[k] == needed[0] and n.tag not in _LEAVES}
-    while root in heavy and nodes[root].tag != "article":
-        root = heavy[root]
-    inside: dict[int, bool] = {-1: False}
-
-    def under(k: int) -> bool:
-        trail = []
-        while k not in inside and k != root:
-            trail.append(k)
-            k = nodes[k].parent
-        held = True if k == root else inside[k]
-        for x in trail:
-            inside[x] = held
-        return held
-
-    return "\n\n".join(t for k, t, _ in own if under(k))
+    own = [(b.node, b.text(), b.linked) for b in blocks if not nodes[b.node].aside]
+    own = [x for x in own if x[1]]
+    chosen = content_paths([(nodes[k].path, t, linked, nodes[k].named) for k, t, linked in own])
+    is_content = [nodes[k].path in chosen for k, *_ in own]
+    n = len(nodes)
+    holds, beside, length, links, only_headings, last = [False] * n, [False] * n, [0] * n, [0] * n, [True] * n, [-1] * n
+    for at, ((k, t, linked), good) in enumerate(zip(own, is_content, strict=True)):
+        holds[k] |= good
+        length[k] += len(t)
+        links[k] += min(linked, len(t))
+        headed, up = nodes[k].tag in _HEADINGS, k
+        only_headings[k] &= headed
+        last[k] = max(last[k], at)
+        if good:  # content stands in k, so whatever k's parent holds stands beside it; deeper text leaves its line to its block
+            beside[k] = True
+            while nodes[up].tag in _FLOW:
+                up = nodes[up].parent
+                beside[up] = True
+    for k in range(n - 1, 0, -1):  # parents come before their children
+        up = nodes[k].parent
+        holds[up] |= holds[k]
+        length[up] += length[k]
+        links[up] += links[k]
+        only_headings[up] &= only_headings[k]
+        last[up] = max(last[up], last[k])
+    # the next block after each that is no heading, and the nearest element around it and a block before it
+    out, next_content = [], [False] * (len(own) + 1)
+    for at in range(len(own) - 1, -1, -1):
+        headed = nodes[own[at][0]].tag in _HEADINGS
+        next_content[at] = is_content[at] or headed and next_content[at + 1]
+    for at, (k, t, _) in enumerate(own):
+        good = is_content[at]
+        if not good:
+            top = k
+            while top and not holds[nodes[top].parent]:
+                top = nodes[top].parent
+            around = nodes[top].parent if top else 0
+            if holds[k]:  # bare text of an element that holds content
+                good = beside[k]
+            elif beside[around]:
+                good = links[top] <= MOST_LINKED * length[top] and not nodes[top].named
+            else:
+                good = only_headings[top] and not nodes[top].named and next_content[last[top] + 1]
+        if good:
+            out.append(t)
+    return "\n\n".join(out)
 
 
 def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

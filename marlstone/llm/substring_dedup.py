@@ -17,8 +17,9 @@ them. A block finds the first occurrence of all, and answers each batch with tho
 that stand in a smaller document elsewhere. The batch's texts, whose exchange is
 used again, are then parsed. A window that very many documents share reaches its
 block once a batch, not once a document. Batches and blocks are as many as the
-counted bytes of text need, so that a group stays at BATCH_BYTES however large the
-input is.
+counted bytes of text need, so that a group stays at batch_bytes however large the
+input is. Each batch writes to each block, so larger executors should take larger
+batches: at 256 MB a block's row still holds a hundred windows for 100 TB of text.
 
 Windows are compared by 64 bits within blocks that a second hash of the same
 window chooses.
@@ -45,8 +46,8 @@ from marlstone.llm.common import load
 
 WIDTH = 13
 #: Bytes of text of a batch, and of the windows' texts of a block.
-BATCH_BYTES = 24 << 20
-_MESSAGE = "block int, batch int, ids binary, counts binary, gaps binary, jumps binary, hashes binary"
+BATCH_BYTES = 8 << 20
+_MESSAGE = "block int, batch int, ids binary, counts binary, gaps binary, hashes binary"
 _ANSWER = "batch int, block int, held binary, sources binary, places binary"
 
 
@@ -83,19 +84,38 @@ class Hasher:
 _hashers: list[Hasher] = []
 
 
-def windows(text: str | None, width: int, blocks: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Words of a text, hashes of its windows and their blocks."""
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").split()
+
+
+def windows(text: str | None, width: int, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a text's windows and their blocks."""
     if not _hashers:
         _hashers.extend((Hasher(5), Hasher(7)))
-    own = (text or "").encode("utf-8", "surrogatepass").split()
+    own = _words(text)
     if len(own) < width:
-        return own, np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int32)
     data = np.frombuffer(b" ".join(own), np.uint8)
     gaps = np.flatnonzero(data == 32)
     starts = np.concatenate([[0], gaps + 1])[: len(own) - width + 1]
     ends = np.append(gaps, len(data))[width - 1 :]
     first, second = (h.runs(data, starts, ends) for h in _hashers)
-    return own, first, ((second >> np.uint64(33)) % np.uint64(blocks)).astype(np.int32)
+    return first, ((second >> np.uint64(33)) % np.uint64(blocks)).astype(np.int32)
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Numbers from zero on in a byte or two each, those that need more once again at the end."""
+    kind = np.dtype("u1" if not len(values) or np.mean(values >= 0xFF) < 0.2 else "u2")
+    most = np.iinfo(kind).max
+    wide = (values >= most) | (values < 0)  # differences of far ids may wrap around
+    return bytes([kind.itemsize]) + len(values).to_bytes(8, "little") + np.where(wide, most, values).astype(kind).tobytes() + values[wide].astype(np.int64).tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    kind, n = np.dtype(f"u{data[0]}"), int.from_bytes(data[1:9], "little")
+    out = np.frombuffer(data, kind, n, 9).astype(np.int64)
+    out[out == np.iinfo(kind).max] = np.frombuffer(data, np.int64, -1, 9 + n * kind.itemsize) if len(data) > 9 + n * kind.itemsize else 0
+    return out
 
 
 def _places(counts: np.ndarray, gaps: np.ndarray) -> np.ndarray:
@@ -117,13 +137,12 @@ class Batch:
 
     def __post_init__(self) -> None:
         found = [windows(t, self.width, self.blocks) for *_, t in self.docs]
-        self.words = [x[0] for x in found]
         self.ids = np.array([i for i, *_ in self.docs], np.int64)
-        self.ends = np.cumsum([len(x[1]) for x in found], dtype=np.int64)
+        self.ends = np.cumsum([len(x[0]) for x in found], dtype=np.int64)
         counts = np.diff(self.ends, prepend=0)
         doc = np.repeat(np.arange(len(found)), counts)
-        hashes = np.concatenate([np.zeros(0, np.uint64), *(x[1] for x in found)])
-        where = np.concatenate([np.zeros(0, np.int32), *(x[2] for x in found)])
+        hashes = np.concatenate([np.zeros(0, np.uint64), *(x[0] for x in found)])
+        where = np.concatenate([np.zeros(0, np.int32), *(x[1] for x in found)])
         _, first, self.distinct = np.unique(hashes, return_index=True, return_inverse=True)
         place = np.arange(len(hashes)) - (self.ends - counts)[doc]
         # of each distinct window, its first occurrence in the batch
@@ -134,8 +153,8 @@ class Batch:
         self.entries = at
         self._of = lambda e: (doc[e], place[e], hashes[e])
 
-    def messages(self) -> Iterator[tuple[int, ...]]:
-        """(block, ids, counts, gaps, jumps, hashes): first occurrences by id and place."""
+    def messages(self) -> Iterator[tuple]:
+        """(block, ids, counts, gaps, hashes): first occurrences by id and place; ids but for the first one as differences."""
         for b in range(self.blocks):
             e = self.entries[self.cuts[b] : self.cuts[b + 1]]
             if len(e):
@@ -143,7 +162,8 @@ class Batch:
                 docs, start, counts = np.unique(doc, return_index=True, return_counts=True)
                 gaps = np.diff(place, prepend=0)
                 gaps[start] = place[start]
-                yield b, self.ids[docs], counts.astype(np.uint32), np.minimum(gaps, 255).astype(np.uint8), gaps[gaps >= 255].astype(np.uint32), hashes
+                ids = self.ids[docs]
+                yield b, ids[:1].tobytes() + _packed(np.diff(ids)), _packed(counts), _packed(gaps), hashes.tobytes()
 
     def learn(self, block: int, held: bytes, sources: bytes, places: bytes) -> None:
         """A block's answer: windows whose first occurrence is in a smaller document of another batch."""
@@ -151,14 +171,17 @@ class Batch:
         at = self.distinct[e[np.unpackbits(np.frombuffer(held, np.uint8), count=len(e)).astype(bool)]]
         self.source[at], self.place[at] = np.frombuffer(sources, np.int64), np.frombuffer(places, np.uint32)
 
-    def parsed(self, k: int) -> tuple[list[tuple[int, int, int, int]], np.ndarray]:
-        """Factors of document k, and the mask of its words that go."""
-        own = self.distinct[self.ends[k - 1] if k else 0 : self.ends[k]]
+    def parsed(self, k: int) -> tuple[list[tuple[int, int, int, int]], np.ndarray | None]:
+        """Factors of document k, and the mask of its words that go, if any does."""
+        start = self.ends[k - 1] if k else 0
+        own = self.distinct[start : self.ends[k]]
         source, place = self.source[own], self.place[own]
         spans, straddling = factors(source < self.ids[k], source, place, self.width)
-        change = np.zeros(len(self.words[k]) + 1, np.int64)
-        for start, end, *_ in (*spans, *straddling):
-            change[start] += 1
+        if not spans:
+            return spans, None
+        change = np.zeros(len(own) + self.width, np.int64)
+        for first, end, *_ in (*spans, *straddling):
+            change[first] += 1
             change[end] -= 1
         return spans, np.cumsum(change)[:-1] > 0
 
@@ -202,7 +225,7 @@ def _batch(rows: list[tuple], width: int, blocks: int) -> Batch:
 def _messages(width: int, blocks: int):
     def of(table: pa.Table) -> pa.Table:
         number = table.column("batch")[0].as_py()
-        return _table([(b, number, *(x.tobytes() for x in rest)) for b, *rest in _batch(_rows(table), width, blocks).messages()], _MESSAGE)
+        return _table([(b, number, *rest) for b, *rest in _batch(_rows(table), width, blocks).messages()], _MESSAGE)
 
     return of
 
@@ -213,11 +236,10 @@ def _answers(table: pa.Table) -> pa.Table:
     hashes = [np.frombuffer(r["hashes"], np.uint64) for r in got]
     owner, place = [], []
     for r in got:
-        counts = np.frombuffer(r["counts"], np.uint32).astype(np.int64)
-        gaps = np.frombuffer(r["gaps"], np.uint8).astype(np.int64)
-        gaps[gaps == 255] = np.frombuffer(r["jumps"], np.uint32)
-        owner.append(np.repeat(np.frombuffer(r["ids"], np.int64), counts))
-        place.append(_places(counts, gaps).astype(np.uint32))
+        counts = _unpacked(r["counts"])
+        ids = np.frombuffer(r["ids"], np.int64, 1) + np.concatenate([[0], np.cumsum(_unpacked(r["ids"][8:]))])
+        owner.append(np.repeat(ids, counts))
+        place.append(_places(counts, _unpacked(r["gaps"])).astype(np.uint32))
     h, own, at = np.concatenate(hashes), np.concatenate(owner), np.concatenate(place)
     by_id = np.argsort(own, kind="stable")  # a batch's entries stand by id and place already
     by_hash = by_id[np.argsort(h[by_id], kind="stable")]
@@ -240,12 +262,12 @@ _FACTOR = [("start", pa.int64()), ("end", pa.int64()), ("source", pa.int64()), (
 _PARSED = "doc_id bigint, n_words bigint, n_removed bigint, kept_text string, factors array<struct<start:bigint,end:bigint,source:bigint,source_start:bigint>>"
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, blocks: int | None = None) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, blocks: int | None = None, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text and factors of each row of docs."""
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     if not blocks:
         n_bytes = texts.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
-        blocks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-n_bytes // BATCH_BYTES))
+        blocks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-n_bytes // batch_bytes))
     marked = texts.withColumn("mark", F.xxhash64("text"))
     dealt = marked.withColumn("batch", F.pmod(F.xxhash64("doc_id", "mark"), F.lit(blocks)).cast("int")).repartition(blocks, "batch").groupBy("batch")
     answers = dealt.applyInArrow(_messages(width, blocks), _MESSAGE).repartition(blocks, "block").groupBy("block").applyInArrow(_answers, _ANSWER)
@@ -258,11 +280,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         number = {doc: k for k, doc in enumerate(batch.docs)}
         out = []
         for row in rows:
-            k = number.get(row)
-            words = row[2].encode("utf-8", "surrogatepass").split() if k is None else batch.words[k]
-            spans, gone = ([], np.zeros(len(words), bool)) if k is None else batch.parsed(k)
-            kept = itertools.compress(words, (~gone).tolist()) if gone.any() else words
-            out.append((row[0], len(words), int(gone.sum()), b" ".join(kept), [dict(zip(("start", "end", "source", "source_start"), x, strict=True)) for x in spans]))
+            k, words = number.get(row), _words(row[2])
+            spans, gone = ([], None) if k is None else batch.parsed(k)
+            kept = words if gone is None else itertools.compress(words, (~gone).tolist())
+            out.append((row[0], len(words), 0 if gone is None else int(gone.sum()), b" ".join(kept), [dict(zip(("start", "end", "source", "source_start"), x, strict=True)) for x in spans]))
         cols = list(zip(*out, strict=True)) or [()] * 5
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.struct(_FACTOR))]
         table = pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "n_words", "n_removed", "kept_text", "factors"])

@@ -20,7 +20,8 @@ def brute(rows, width):
 
 def test_everything_repeats(spark):
     rng = random.Random(1)
-    rows = [(k // 2, [rng.choice("ab") for _ in range(rng.randint(0, 60))]) for k in range(120)] + [(200, ["c"] * 400), (201, ["c"] * 500)]
+    rows = [(-(1 << 63), ["a", "b"] * 9), ((1 << 63) - 1, ["b", "a"] * 9)]
+    rows += [(k // 2, [rng.choice("ab") for _ in range(rng.randint(0, 60))]) for k in range(120)] + [(200, ["c"] * 400), (201, ["c"] * 500)]
     docs = spark.createDataFrame([(i, "  ".join(w) + "\n") for i, w in rows], "doc_id bigint, text string")
     for width, blocks in ((3, 5), (8, 3)):
         got = substring_dedup.substring_dedup(docs, width=width, blocks=blocks).collect()

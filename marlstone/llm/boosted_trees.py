@@ -85,10 +85,13 @@ def compiled(model: Model, features: Column) -> Column:
 
 
 def calibrated(scores: np.ndarray, y: np.ndarray, precision: float) -> float:
-    """The least threshold above which held-out precision is as asked for."""
+    """The least threshold above which held-out precision is as asked for, midway between the scores on either side of it."""
     order = np.argsort(-scores, kind="stable")
+    ranked = scores[order]
     right = np.cumsum(y[order]) / np.arange(1, len(y) + 1)
-    # a threshold stands between different scores only
-    last = np.append(scores[order][1:] != scores[order][:-1], True)
+    last = np.append(ranked[1:] != ranked[:-1], True)
     good = np.flatnonzero((right >= precision) & last)
-    return float(scores[order][good[-1]]) if len(good) else float("inf")
+    if not len(good):
+        return float("inf")
+    below = ranked[good[-1] + 1] if good[-1] + 1 < len(ranked) else ranked[good[-1]] - 1.0
+    return float((ranked[good[-1]] + below) / 2)

@@ -67,22 +67,29 @@ ENTITIES = {
 
 
 def _character(code: Column) -> Column:
-    return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    """The character of a code point; U+FFFD where there is none."""
+    good = code.between(0, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+    return F.when(good, F.decode(F.unhex(F.lpad(F.hex(F.when(good, code).otherwise(0)), 8, "0")), "UTF-32")).otherwise("\ufffd")
 
 
-def _numeric(c: Column, pattern: str, number) -> Column:
-    """c with each match of pattern replaced by the character that its group stands for."""
+def _numeric(c: Column, pattern: str, base: int) -> Column:
+    """c with each match of pattern replaced by the character that its group stands for, however many digits it has."""
     codes = F.regexp_extract_all(c, F.lit(pattern), F.lit(1))
     gaps = F.split(c, pattern, -1)
-    joined = F.array_join(F.transform(F.arrays_zip(gaps.alias("g"), codes.alias("n")), lambda x: F.concat(x["g"], F.coalesce(_character(number(x["n"])), F.lit("")))), "")
+
+    def number(digits: Column) -> Column:
+        own = F.ltrim(digits, F.lit("0"))
+        return F.when(F.length(own) <= 7, F.coalesce(F.conv(own, base, 10).cast("bigint"), F.lit(0))).otherwise(-1)
+
+    joined = F.array_join(F.transform(F.arrays_zip(gaps.alias("g"), codes.alias("n")), lambda x: F.concat(x["g"], F.when(x["n"].isNull(), F.lit("")).otherwise(_character(number(x["n"]))))), "")
     return F.when(c.rlike(pattern), joined).otherwise(c)
 
 
 def decode_entities(c: Column) -> Column:
     for name, character in ENTITIES.items():
         c = F.replace(c, F.lit(name), F.lit(character))
-    c = _numeric(c, r"&#([0-9]+);", lambda n: n.cast("bigint"))
-    return _numeric(c, r"(?i)&#x([0-9a-f]+);", lambda n: F.conv(n, 16, 10).cast("bigint"))
+    c = _numeric(c, r"&#([0-9]+);", 10)
+    return _numeric(c, r"(?i)&#x([0-9a-f]+);", 16)
 
 
 def strip_tags(c: Column) -> Column:

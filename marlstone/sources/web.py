@@ -73,23 +73,30 @@ def canonical(url: str) -> str:
     return f"{p.scheme.lower()}://{host}{port}{p.path or '/'}{'?' + p.query if p.query else ''}"
 
 
+#: Schemes of links that lead to no page.
+OTHER_SCHEMES = ("mailto", "tel", "javascript", "data")
+
+
 def hrefs(html: Column) -> Column:
     """Targets of links as they are written, in order, without other schemes."""
-    found = F.regexp_extract_all(html, F.lit(r"(?i)<a\b[^>]*\bhref\s*=\s*[\"']([^\"']+)[\"']"), F.lit(1))
-    return F.filter(found, lambda h: ~F.trim(h).rlike("(?i)^(?:mailto|tel|javascript|data):"))
+    quoted = F.regexp_extract_all(html, F.lit(r"""(?is)<a\s(?:[^>]*?[\s"'])?href\s*=\s*("[^"]+"|'[^']+')"""), F.lit(1))
+    found = F.transform(quoted, lambda q: F.substring(q, F.lit(2), F.length(q) - 2))
+    return F.filter(found, lambda h: ~F.lower(F.trim(F.substring_index(h, ":", 1))).isin(*OTHER_SCHEMES) | ~F.contains(h, F.lit(":")))
 
 
 def title(html: Column) -> Column:
-    return F.nullif(tx.collapse(F.regexp_extract(html, r"(?i)<title\b[^>]*>([\s\S]*?)</title>", 1)), F.lit(""))
+    """The first title; null if there is none or a blank one."""
+    return F.nullif(tx.collapse(F.regexp_extract(html, r"(?is)<title(?:\s[^>]*)?>(.*?)</title\s*>", 1)), F.lit(""))
 
 
 def language(html: Column) -> Column:
-    return F.nullif(F.lower(F.regexp_extract(html, "(?i)<html\\b[^>]*\\blang=[\"']?([a-z]{2})", 1)), F.lit(""))
+    """Two letters of the page's language; null if it names none."""
+    return F.nullif(F.lower(F.regexp_extract(html, r"""(?is)<html(?:\s[^>]*?)?\slang\s*=\s*["']?([a-z]{2})""", 1)), F.lit(""))
 
 
 def sitemap(xml: Column) -> Column:
     """Locations of a sitemap or of an index of sitemaps."""
-    return F.filter(F.regexp_extract_all(xml, F.lit(r"(?i)<loc>\s*([^<]+?)\s*</loc>"), F.lit(1)), lambda x: x != "")
+    return F.filter(F.transform(F.regexp_extract_all(xml, F.lit(r"(?is)<loc>([^<]*)</loc>"), F.lit(1)), tx.trim), lambda x: x != "")
 
 
 def parse_robots(text: str, agent: str = USER_AGENT) -> list[str]:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import cron, net, vectors
 from marlstone.functions import text as tx
-from marlstone.operators import chunking, context, convert, evaluation, events, gaps, grounding, ingest, lexical, prompts, retrieval, tenancy
+from marlstone.operators import chunking, context, convert, evaluation, events, gaps, grounding, ingest, lexical, markup, prompts, retrieval, tenancy
 from marlstone.sources import files, notes, source_for, web
 
 
@@ -45,10 +45,10 @@ def test_templates_name_what_is_missing(spark):
 
 
 def test_html():
-    c = convert.html_to_markdown("<html lang='ES-mx'><title> A &amp; B </title><body><nav>no</nav><h2>T <b>x</b></h2><p>a <strong>b</strong> <a href='/u'>l</a><script>z</script><ul><li>i</li></ul><table><tr><th>h</th><th>k</th></tr><tr><td>1</td><td>&lt;2</td></tr></table></body>")
+    c = markup.html_to_markdown("<html lang='ES-mx'><title> A &amp; B </title><body><nav>no</nav><h2>T <b>x</b></h2><p>a <strong>b</strong> <a href='/u'>l</a><script>z</script><ul><li>i</li></ul><table><tr><th>h</th><th>k</th></tr><tr><td>1</td><td>&lt;2</td></tr></table></body>")
     assert (c.title, c.language) == ("A & B", "es")
     assert c.markdown == "## T x\n\na **b** [l](/u)\n- i\n\n| h | k |\n| --- | --- |\n| 1 | <2 |"
-    assert "no" not in convert.html_to_markdown("<main>yes</main><footer>no</footer>").markdown
+    assert "no" not in markup.html_to_markdown("<main>yes</main><footer>no</footer>").markdown
 
 
 def test_plain_text():

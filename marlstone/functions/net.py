@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import ipaddress
-from urllib.parse import urlsplit
+from collections.abc import Callable, Mapping
+from urllib.parse import urljoin, urlsplit
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,6 +34,33 @@ def is_private(address: Column) -> Column:
     return F.coalesce(F.when(v4, ~good | _v4(F.get(octets, F.lit(0)), F.get(octets, F.lit(1)))).when(v6, private6), F.lit(True))
 
 
+class BlockedUrl(ValueError):
+    def __init__(self, reason: str, url: str):
+        super().__init__(f"{reason}: {url}")
+        self.reason = reason
+
+
+MOST_REDIRECTS = 5
+
+
+def fetched(url: str, get: Callable[[str, dict[str, str]], tuple[int, str | None, bytes]], resolve: Callable[[str], list[str]] | None = None, headers: Mapping[str, str] | None = None, private_ok: bool = False) -> tuple[str, bytes]:
+    """The address that a URL leads to and its body. get(url, headers): status, location of a redirect, body.
+
+    Every hop is tested like the first one, as a public page may lead to a private
+    one; credentials go to the origin that they are for and to no other.
+    """
+    first, at = "{0.scheme}://{0.netloc}".format(urlsplit(url)), url
+    for _ in range(MOST_REDIRECTS + 1):
+        if reason := blocked_reason(at, resolve, private_ok):
+            raise BlockedUrl(reason, at)
+        own = dict(headers or {}) if "{0.scheme}://{0.netloc}".format(urlsplit(at)) == first else {k: v for k, v in (headers or {}).items() if k.lower() not in ("authorization", "cookie")}
+        code, location, body = get(at, own)
+        if not (300 <= code < 400 and location):
+            return at, body
+        at = urljoin(at, location)
+    raise BlockedUrl("redirects", url)
+
+
 def blocked_reason(url: str, resolve=None, private_ok: bool = False) -> str | None:
     """Why a URL may not be fetched: scheme, port, private_network or unresolvable; None if it may. resolve: host to all its addresses."""
     try:

@@ -44,6 +44,17 @@ def conflicting_versions(files: DataFrame, stored: DataFrame) -> DataFrame:
     return files.join(stored.select("key", "version", F.col("template").alias("old")), ["key", "version"]).where(F.col("template") != F.col("old")).select("key", "version")
 
 
+def seed(files: DataFrame, prompts: DataFrame, versions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """New rows of prompts (key, name) and of versions (key, version, template) of prompt files; a version that changed is an error.
+
+    files: key, name, version, template.
+    """
+    if bad := conflicting_versions(files, versions).limit(3).collect():
+        raise ValueError(f"versions never change: {[(r.key, r.version) for r in bad]}")
+    new_prompts = files.groupBy("key").agg(F.max_by("name", "version").alias("name")).join(prompts.select("key"), "key", "left_anti")
+    return new_prompts, files.select("key", "version", "template").dropDuplicates(["key", "version"]).join(versions.select("key", "version"), ["key", "version"], "left_anti")
+
+
 def merged(stored: DataFrame, incoming: DataFrame, *key: str) -> DataFrame:
     """Upsert: incoming rows replace stored ones with the same key."""
     return stored.join(incoming.select(*key), list(key), "left_anti").select(*stored.columns).unionByName(incoming.select(*stored.columns))

@@ -32,6 +32,12 @@ def with_latest(rows: DataFrame, key: str, children: DataFrame, child_key: str,
     return rows.join(own, key, "left").withColumn(name, F.coalesce(name, F.array().cast(own.schema[name].dataType)))
 
 
+def with_active_version(documents: DataFrame, versions: DataFrame) -> DataFrame:
+    """documents with active_version (version, checksum, ingested_at), the newest if several are active; null if none is."""
+    own = versions.where("is_active").groupBy(F.col("document_id").alias("id")).agg(F.max_by(F.struct("version", "checksum", "ingested_at"), "version").alias("active_version"))
+    return documents.join(own, "id", "left")
+
+
 def contact_problem(email: Column, phone: Column, external_id: Column, channel: Column) -> Column:
     """What is wrong with a contact; null if nothing is."""
     return F.when(email.isNull() & phone.isNull() & external_id.isNull(), "no identifier").when(external_id.isNotNull() & channel.isNull(), "external id without channel")

@@ -2,26 +2,53 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_made: list[str] = []
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares (spark.checkpoint.dir)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where it is unset, a folder of this machine in local mode, and an error on a cluster."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="marlstone-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _drop(spark: SparkSession) -> None:
+    """Deletes this application's intermediate tables."""
+    try:
+        for path in _made:
+            delete(spark, path)
+    except Exception:  # the session is gone; what is left is only files
+        return
+
+
+def scratch(spark: SparkSession, name: str, keep: bool = True) -> str:
+    """A new path in the shared folder. Unless it is to be kept, it goes with the application."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if not keep:
+        if not _made:
+            atexit.register(_drop, spark)
+        _made.append(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: a cut of the lineage that outlives executors."""
+    """df as a table in the shared folder: a cut of the lineage that outlives executors. It is deleted when the application ends."""
     spark = df.sparkSession
-    path = scratch(spark, name)
+    path = scratch(spark, name, keep=False)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import cron, net, vectors
 from marlstone.functions import text as tx
-from marlstone.operators import chunking, context, conversation, convert, evaluation, events, gaps, grounding, ingest, lexical, prompts, reports, retrieval, tenancy
-from marlstone.sources import files, web
+from marlstone.operators import chat, chunking, context, conversation, convert, evaluation, events, gaps, grounding, ingest, lexical, ports, prompts, reports, retrieval, tenancy
+from marlstone.operators.tables import scratch
+from marlstone.sources import files, store, web
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -66,8 +67,11 @@ def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), lexical.identity_analyser(F.coalesce("text", F.lit(""))).alias("terms"))
 
 
-def _matching(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.search(load(spark, sf_dir, "documents"), _questions(spark, sf_dir), need_all=False)
+def _matching(spark: SparkSession, sf_dir: str, asked: DataFrame | None = None) -> DataFrame:
+    """asked: the query_id of questions to be ranked; without it all of them."""
+    questions = _questions(spark, sf_dir)
+    questions = questions if asked is None else questions.join(asked.select("query_id"), "query_id", "left_semi")
+    return lexical.search(load(spark, sf_dir, "documents"), questions, need_all=False)
 
 
 @query(f"WITH {_SIMILAR} SELECT query_id, vec_id AS id, similarity, vector_rank::INT AS vector_rank FROM vec")
@@ -85,7 +89,7 @@ def lexical_topk(spark, sf_dir):
 @query(f"""
 WITH {_LEXICAL}, allt AS (
   SELECT query_id, doc_id FROM (SELECT query_id, terms, unnest(terms) AS term FROM ask) JOIN tf USING (term) GROUP BY query_id, doc_id HAVING count(*) = any_value(len(terms)))
-SELECT query_id, doc_id AS id FROM allt QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY doc_id) <= 1000000""")
+SELECT query_id, doc_id AS id FROM allt""")
 def lexical_all_terms(spark, sf_dir):
     """R2, L2: documents that have all terms of a question."""
     return lexical.search(load(spark, sf_dir, "documents"), _questions(spark, sf_dir), k=None).select("query_id", "id")
@@ -119,8 +123,7 @@ FROM f QUALIFY rank <= 8""")
 def hybrid_rrf(spark, sf_dir):
     """Both branches fused by reciprocal rank; rows of vectors and documents share their ids here."""
     asked = _asked(spark, sf_dir)
-    lex = _matching(spark, sf_dir).join(asked.select("query_id"), "query_id", "left_semi")
-    got = retrieval.fuse_rrf(_nearest(spark, sf_dir), lex)
+    got = retrieval.fuse_rrf(_nearest(spark, sf_dir), _matching(spark, sf_dir, asked))
     return got.select("query_id", "id", "similarity", "vector_rank", "lexical_rank", F.round("score", 9).alias("score"), "rank")
 
 
@@ -253,7 +256,11 @@ def html_links(spark, sf_dir):
     return load(spark, sf_dir, "pages").select("page_id", web.hrefs(F.col("html")).alias("hrefs"))
 
 
-@query()
+@query("""
+WITH h AS (SELECT url, unnest(regexp_extract_all(html, '(?i)<a\\b[^>]*\\bhref\\s*=\\s*["'']([^"'']+)["'']', 1)) AS href, generate_subscripts(regexp_extract_all(html, '(?i)<a\\b[^>]*\\bhref\\s*=\\s*["'']([^"'']+)["'']', 1), 1) AS k FROM pages),
+a AS (SELECT url, k, CASE WHEN regexp_matches(href, '^https?://') THEN href WHEN starts_with(href, '/') THEN regexp_extract(url, '^(https?://[^/?#]+)', 1) || href ELSE regexp_extract(url, '^(https?://[^?#]*/)', 1) || href END AS link FROM h),
+f AS (SELECT url, regexp_replace(link, '#.*$', '') AS link, min(k) AS k FROM a GROUP BY ALL)
+SELECT url, (row_number() OVER (PARTITION BY url ORDER BY k) - 1)::INT AS position, link FROM f""")
 def html_resolved_links(spark, sf_dir):
     """Absolute links."""
     return web.links(load(spark, sf_dir, "pages"))
@@ -274,18 +281,39 @@ def incremental_sync(spark, sf_dir):
     return files.incremental(at, at.where("page_id % 3 <> 0"), "url", "checksum").select("page_id", "url", "checksum")
 
 
-@query()
+_STEPS = [("<br\\s*/?>", "\\n"), ("</(?:p|div|section)>", "\\n\\n")]
+_STEPS += [(f"(?s)<h{n}\\b[^>]*>\\s*(.*?)\\s*</h{n}>", "\\n\\n" + "#" * n + " \\\\1\\n\\n") for n in range(1, 7)]
+_STEPS += [("(?s)<li\\b[^>]*>\\s*(.*?)\\s*</li>", "\\n- \\\\1"), ("<[^>]+>", "")]
+_PAGE_SQL = "regexp_extract(html, '(?is)<(?:main|article)\\b[^>]*>(.*?)</(?:main|article)>', 1)"
+for _pattern, _becomes in _STEPS:
+    _PAGE_SQL = f"regexp_replace({_PAGE_SQL}, '(?i){_pattern}', E'{_becomes}', 'g')"
+for _name, _char in tx.ENTITIES.items():
+    _PAGE_SQL = f"replace({_PAGE_SQL}, '{_name}', '{_char.replace(chr(39), chr(39) * 2)}')"
+_PAGE_SQL = f"regexp_replace(regexp_replace(regexp_replace({_PAGE_SQL}, '[ \\t]+(\\n|$)', '\\1', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')"
+
+
+@query(f"SELECT page_id, md5({_PAGE_SQL}) AS markdown_md5 FROM pages")
 def html_to_markdown(spark, sf_dir):
-    """Pages through the converter."""
+    """Pages through the converter; the SQL has the rules for what pages hold, which is no table and no bold text that ends."""
     at = load(spark, sf_dir, "pages").select("page_id", F.col("html").alias("content"), F.lit("text/html; charset=utf-8").alias("mime_type"), F.lit("page.html").alias("filename"))
-    return convert.convert(at, keep=("page_id",))
+    return convert.convert(at, keep=("page_id",)).select("page_id", F.md5("markdown").alias("markdown_md5"))
 
 
-@query()
+@query("""
+WITH l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
+s AS (SELECT *, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS own FROM l),
+w AS (SELECT *, coalesce(lead(own) OVER o, '') AS after, coalesce(lag(own) OVER o, '') AS before, regexp_extract(own, '^([0-9]+(?:\\.[0-9]+)*)\\.?\\s+(\\S.*)$', ['a', 'b']) AS num FROM s WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
+c AS (
+  SELECT doc_id, k, CASE
+    WHEN num.a <> '' AND length(own) < 90 THEN repeat('#', least(len(string_split(num.a, '.')) + 1, 6)) || ' ' || num.b
+    WHEN own <> '' AND after = '' AND before = '' AND length(own) < 70 AND own = upper(own) AND own <> lower(own) AND right(own, 1) NOT IN ('.', ':', ';')
+      THEN '## ' || array_to_string(list_transform(string_split(lower(own), ' '), lambda x: upper(left(x, 1)) || substr(x, 2)), ' ')
+    ELSE regexp_replace(line, '\\s+$', '') END AS said FROM w)
+SELECT doc_id, md5(regexp_replace(regexp_replace(string_agg(said, chr(10) ORDER BY k), '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')) AS markdown_md5 FROM c GROUP BY doc_id""")
 def text_to_markdown(spark, sf_dir):
-    """Documents as plain text."""
+    """Documents as plain text; none of them underlines its headings."""
     at = load(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"), F.lit("text/plain").alias("mime_type"), F.lit("a.txt").alias("filename"))
-    return convert.convert(at)
+    return convert.convert(at).select("doc_id", F.md5("markdown").alias("markdown_md5"))
 
 
 @query("""
@@ -688,6 +716,141 @@ def eval_gate(spark, sf_dir):
     return evaluation.gate(evaluation.metrics(*_evaluated(spark, sf_dir)))
 
 
+def _suite(spark: SparkSession, sf_dir: str) -> evaluation.Run:
+    """Query vectors as cases: those with an even label are answerable; neighbours other than the vector itself are their hits."""
+    e = load(spark, sf_dir, "embeddings").where("vec_id % 50 = 0")
+    none = F.array().cast("array<string>")
+    kind = F.when(F.col("label") % 2 == 0, "ANSWERABLE").otherwise("UNANSWERABLE")
+    history = F.when(F.col("vec_id") % 200 == 0, F.array(F.lit("said before"))).otherwise(none)
+    cases = e.select(F.col("vec_id").alias("id"), kind.alias("kind"), F.col("vec_id").cast("string").alias("question"), history.alias("history"), none.alias("expected_sources"), F.array(F.lit("text of")).alias("expected_contains"), none.alias("must_not_contain"), F.lit(None).cast("boolean").alias("expects_rewrite"))
+
+    def search(asked: DataFrame) -> DataFrame:
+        near = _nearest(spark, sf_dir).where("id <> query_id").join(asked.select("query_id"), "query_id", "left_semi")
+        order = Window.partitionBy("query_id").orderBy("vector_rank")
+        return near.select("query_id", "id", "similarity", F.row_number().over(order).alias("rank"), F.concat(F.lit("text of "), F.col("id")).alias("content"))
+
+    return evaluation.run_suite(cases, search)
+
+
+@query(f"""
+WITH {_SIMILAR}, n AS (SELECT query_id, vec_id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY vector_rank) AS k FROM vec WHERE vec_id <> query_id QUALIFY k <= 8)
+SELECT query_id AS case_id, max(similarity) >= 0.78 AS answered, list(vec_id::VARCHAR ORDER BY k) AS retrieved, true AS source_found FROM n WHERE query_id % 200 <> 0 GROUP BY query_id""")
+def suite_outcomes(spark, sf_dir):
+    """A set of cases through search and gate; cases with a history are skipped without a resolver."""
+    return _suite(spark, sf_dir).outcomes.select("case_id", "answered", "retrieved", "source_found")
+
+
+@query(f"""
+WITH {_SIMILAR}, o AS (SELECT query_id, max(similarity) >= 0.78 AS answered, any_value(label) % 2 = 0 AS good FROM vec JOIN embeddings q ON q.vec_id = query_id WHERE vec.vec_id <> query_id AND query_id % 200 <> 0 GROUP BY query_id)
+SELECT count_if(good) AS answerable, count_if(NOT good) AS unanswerable, coalesce(count_if(NOT good AND NOT answered) / nullif(count_if(NOT good), 0), 1)::DOUBLE AS correct_abstention,
+       coalesce(count_if(good AND NOT answered) / nullif(count_if(good), 0), 0)::DOUBLE AS over_abstention, 1.0::DOUBLE AS recall_at_k FROM o""")
+def suite_metrics(spark, sf_dir):
+    """The metrics of that run."""
+    return _suite(spark, sf_dir).metrics.select("answerable", "unanswerable", "correct_abstention", "over_abstention", "recall_at_k")
+
+
+def _chat(spark: SparkSession, sf_dir: str) -> chat.Replayed:
+    """Each conversation asks its first text once more; its similarity to what is found follows from its number."""
+    turns = load(spark, sf_dir, "conversations")
+    first = turns.groupBy("conv_id").agg(F.min_by("text", "turn").alias("question"))
+    name = F.col("conv_id").cast("string")
+    requests = first.select(F.col("conv_id").alias("request_id"), F.lit("t").alias("tenant_id"), name.alias("conversation_id"), F.lit("web").alias("channel"), F.lit(None).cast("string").alias("external_id"), "question")
+    status = F.when(F.col("conv_id") % 7 == 1, "ESCALATED").when(F.col("conv_id") % 7 == 2, "CLOSED").otherwise("OPEN")
+    known = first.where("conv_id % 7 <> 3").select(name.alias("id"), F.lit("web").alias("channel"), F.lit(None).cast("string").alias("external_id"), status.alias("status"))
+    messages = turns.select(name.alias("conv_id"), "turn", "role", "text")
+
+    def search(asked: DataFrame) -> DataFrame:
+        similarity = (F.col("query_id") * 37 % 100) / 100
+        return asked.select("query_id", F.lit("c").alias("id"), F.lit(1).alias("rank"), similarity.alias("similarity"), F.concat(F.lit("Known: "), F.col("question")).alias("content"))
+
+    def resolve(question, history):
+        return F.struct((F.size(history) > 2).alias("is_follow_up"), F.concat(tx.trim(question), F.lit(" again")).alias("standalone"), F.lit(0.5).alias("cost"))
+
+    return chat.replay(requests, known, messages, search, resolve)
+
+
+_CHAT_SQL = """
+WITH q AS (SELECT conv_id, regexp_replace(min_by(text, turn), '^\\s+|\\s+$', '', 'g') AS text FROM conversations GROUP BY conv_id),
+h AS (SELECT conv_id, count(*) AS n, max(turn) AS last FROM (SELECT * FROM conversations WHERE lower(role) IN ('user', 'assistant') QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 10) GROUP BY conv_id),
+r AS (
+  SELECT conv_id, CASE WHEN text = '' OR length(text) > 4000 THEN 'invalid_message' WHEN conv_id % 7 = 1 THEN 'conversation_escalated' WHEN conv_id % 7 = 2 THEN 'conversation_closed' WHEN conv_id % 7 = 3 THEN 'not_found' END AS refusal,
+         text, coalesce(n, 0) > 2 AS rewritten, coalesce(last, -1) AS last, (conv_id * 37 % 100) / 100 >= 0.78 AS passed FROM q LEFT JOIN h USING (conv_id)),
+a AS (SELECT *, CASE WHEN rewritten THEN text || ' again' ELSE text END AS question FROM r)"""
+
+
+@query(f"""{_CHAT_SQL}
+SELECT conv_id AS request_id, refusal, CASE WHEN refusal IS NULL THEN passed END AS answered, CASE WHEN refusal IS NULL THEN CASE WHEN passed THEN 'Known: ' || string_split(question, chr(10))[1] ELSE '{grounding.DEFAULTS["fallback"]}' END END AS response,
+       CASE WHEN refusal IS NULL AND rewritten THEN question END AS resolved_question, CASE WHEN refusal IS NULL AND NOT passed THEN 'BELOW_THRESHOLD' END AS gap FROM a""")
+def chat_replies(spark, sf_dir):
+    """A turn of each conversation."""
+    return _chat(spark, sf_dir).replies.select("request_id", "refusal", "answered", "response", "resolved_question", "gap")
+
+
+@query(f"""{_CHAT_SQL}
+SELECT conv_id AS request_id, unnest([last + 1, last + 2])::BIGINT AS turn, unnest(['USER', 'ASSISTANT']) AS role, unnest([0.0, CASE WHEN coalesce(last, -1) >= 0 THEN 0.5 ELSE 0.0 END])::DOUBLE AS cost FROM a WHERE refusal IS NULL""")
+def chat_messages(spark, sf_dir):
+    """V5: what the turns add to their threads."""
+    return _chat(spark, sf_dir).messages.select("request_id", F.col("turn").cast("bigint").alias("turn"), "role", "cost")
+
+
+@query("""
+WITH d AS (SELECT doc_id, doc_id % 4 AS k FROM documents)
+SELECT doc_id AS file_id, CASE WHEN k = 1 THEN 7 WHEN k = 2 THEN 8 ELSE 1 END::INT AS version, k = 1 AS unchanged FROM d""")
+def ingest_files(spark, sf_dir):
+    """A batch of files; a quarter of them is known and did not change, another has changed."""
+    docs = load(spark, sf_dir, "documents")
+    name, none = F.concat(F.lit("doc-"), F.col("doc_id")), F.lit(None).cast("string")
+    files_in = docs.select(F.col("doc_id").alias("file_id"), F.col("source").alias("tenant_id"), none.alias("document_id"), name.alias("source_ref"), none.alias("title"), none.alias("source_id"), F.lit("a.md").alias("filename"), F.lit("text/markdown").alias("mime_type"), F.encode("text", "UTF-8").alias("content"), none.alias("category"), F.array().cast("array<string>").alias("tags"), none.alias("department"))
+    known = docs.where("doc_id % 4 in (1, 2)")
+    stored = known.select(name.alias("id"), F.col("source").alias("tenant_id"), name.alias("title"), name.alias("source_ref"), none.alias("source_id"))
+    text = tx.normalize_blank_lines(F.col("text"))
+    versions = known.select(F.concat(name, F.lit("-v7")).alias("id"), F.col("source").alias("tenant_id"), name.alias("document_id"), F.lit(7).alias("version"), tx.checksum(F.when(F.col("doc_id") % 4 == 1, text).otherwise(F.concat(text, F.lit(" old")))).alias("checksum"), F.lit(True).alias("is_active"))
+    done = ingest.ingest(files_in, stored, versions, ports.deterministic(384), F.lit(NOW).cast("timestamp"))
+    return done.results.select("file_id", "version", "unchanged")
+
+
+@query("""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\\p{L}+|\\p{N}+')) AS token FROM documents),
+n AS (SELECT doc_id, (('0x' || substr(sha256(token), 1, 8))::UBIGINT % 384)::INT AS slot, CASE WHEN ('0x' || substr(sha256(token), 9, 2))::UBIGINT % 2 = 0 THEN 1 ELSE -1 END AS s FROM t),
+v AS (SELECT doc_id, slot, sum(s)::DOUBLE AS v FROM n GROUP BY ALL HAVING sum(s) <> 0)
+SELECT doc_id, slot, round(v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)), 4) AS value FROM v""")
+def embedded_batches(spark, sf_dir):
+    """Documents through an embedder in batches of 96; its vectors are floats."""
+    got = ports.embed_texts(load(spark, sf_dir, "documents"), ports.deterministic(384), "doc_id", "text")
+    return got.select("doc_id", F.posexplode("embedding").alias("slot", "v")).where("v <> 0").select("doc_id", "slot", F.round(F.col("v").cast("double"), 4).alias("value"))
+
+
+@query("""
+WITH d AS (SELECT source || '/' || doc_id || '.md' AS key, doc_id, sha256(text) AS digest FROM documents)
+SELECT key, doc_id % 3 <> 0 AS there, CASE WHEN doc_id % 3 = 1 THEN digest WHEN doc_id % 3 = 2 THEN sha256('second') END AS digest FROM d""")
+def file_store(spark, sf_dir):
+    """Documents put, a third of them put again, another third deleted."""
+    at = store.FileStore(spark, scratch(spark, "file-store", keep=False))
+    docs = load(spark, sf_dir, "documents").select(F.concat("source", F.lit("/"), "doc_id", F.lit(".md")).alias("key"), F.col("text").alias("content"), "doc_id")
+    at.put(docs, 1)
+    at.put(docs.where("doc_id % 3 = 2").withColumn("content", F.lit("second")), 2)
+    at.delete(docs.where("doc_id % 3 = 0"), 3)
+    return at.exists(docs).join(at.get(docs).select("key", F.sha2("content", 256).alias("digest")), "key", "left")
+
+
+@query("""
+SELECT c_custkey AS id, CASE WHEN n IS NOT NULL THEN n END AS active_version FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderkey) AS n FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) ON o_custkey = c_custkey""")
+def document_detail(spark, sf_dir):
+    """Q2: customers as documents, their orders as versions."""
+    versions = load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("document_id"), F.col("o_orderkey").alias("version"), F.lit("").alias("checksum"), F.col("o_orderdate").alias("ingested_at"), (F.col("o_orderstatus") == "O").alias("is_active"))
+    return reports.with_active_version(load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), versions).select("id", F.col("active_version.version").alias("active_version"))
+
+
+@query("""
+WITH c AS (SELECT conv_id, list(text ORDER BY turn) AS v FROM conversations WHERE role = 'user' GROUP BY conv_id)
+SELECT conv_id, '[' || conv_id || '] ' || v[1] || CASE WHEN len(v) > 1 THEN chr(10) || '   también preguntado como: ' || array_to_string(v[2:], ' · ') ELSE '' END AS rendered FROM c""")
+def gap_matcher_candidates(spark, sf_dir):
+    """A gap as a matcher is shown it."""
+    at = load(spark, sf_dir, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("v"))
+    one = F.array(F.struct(F.col("conv_id").alias("id"), F.col("v")[0].alias("question"), F.slice("v", 2, F.greatest(F.size("v") - 1, F.lit(0))).alias("variants")))
+    return at.select("conv_id", gaps.render_candidates(one).alias("rendered"))
+
+
 # --- lists, tenants, prompts -------------------------------------------------
 
 

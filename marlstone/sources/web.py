@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from urllib.parse import urljoin, urlsplit
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as tx
@@ -65,6 +65,34 @@ class WebConfig:
         return WebConfig(tuple(urls), clamp(raw.get("maxPages"), 100, 1, 2000), clamp(raw.get("maxDepth"), 3, 0, 10), clamp(raw.get("delayMs"), 500, 0, 30000), *patterns, raw.get("respectRobots", True))
 
 
+@dataclass(frozen=True)
+class ListConfig:
+    """A source that lists documents behind a credential: notes, or a drive with its folders."""
+
+    credential: str
+    most: int = 500
+    folders: tuple[str, ...] = ()
+
+    @staticmethod
+    def of(raw: dict, credential: str, most: str) -> ListConfig:
+        """credential and most: the names of these settings."""
+        secret, folders = raw.get(credential), raw.get("folderIds") or []
+        if not isinstance(secret, str) or not secret.strip():
+            raise ConnectorError(f"{credential} is missing")
+        if not isinstance(folders, list) or not all(isinstance(f, str) for f in folders):
+            raise ConnectorError("folderIds are texts")
+        return ListConfig(secret, clamp(raw.get(most), 500, 1, 5000), tuple(folders))
+
+
+#: Settings of sources by kind.
+CONFIGS = {
+    "URL": WebConfig.of,
+    "SITEMAP": WebConfig.of,
+    "NOTION": lambda raw: ListConfig.of(raw, "token", "maxPages"),
+    "GOOGLE_DRIVE": lambda raw: ListConfig.of(raw, "serviceAccount", "maxFiles"),
+}
+
+
 def canonical(url: str) -> str:
     """Lower scheme and host, no default port, no fragment, a path at least."""
     p = urlsplit(url)
@@ -146,21 +174,37 @@ def links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Dat
     return at.mapInArrow(of, "url string, position int, link string")
 
 
-def crawl(pages: DataFrame, config: WebConfig, seen: DataFrame, robots: DataFrame | None = None) -> DataFrame:
+def sitemap_pages(sitemaps: DataFrame, depth: int = 2) -> DataFrame:
+    """url: pages that the start documents (is_start) name. sitemaps: url, xml, is_start. An index names sitemaps, which are read, too."""
+    named = written(sitemaps.select("url", "is_start", F.explode(sitemap(F.col("xml"))).alias("loc")), "sitemap-entries")
+    inner = sitemaps.select(F.col("url").alias("loc")).distinct()
+    level = named.where("is_start").select("loc").distinct()
+    out = level.join(inner, "loc", "left_anti")
+    for _ in range(depth - 1):
+        level = written(named.join(level.join(inner, "loc", "left_semi").withColumnRenamed("loc", "url"), "url", "left_semi").select("loc").distinct(), "sitemap-level")
+        out = out.unionByName(level.join(inner, "loc", "left_anti"))
+    return out.distinct().withColumnRenamed("loc", "url")
+
+
+def crawl(pages: DataFrame, config: WebConfig, seen: DataFrame, robots: DataFrame | None = None, sitemaps: DataFrame | None = None) -> DataFrame:
     """url, depth, checksum, title, state (discovered or unchanged) of the pages that are reached.
 
     pages: url (canonical), html; seen: url, checksum of the last crawl; robots:
-    origin, rules. Pages that did not change are still read for links. max_pages
-    counts what is reached, nearest first, by URL within a depth.
+    origin, rules; sitemaps: as sitemap_pages() takes them, whose pages are starts,
+    too. Pages that did not change are still read for links. max_pages counts what
+    is reached, nearest first, by URL within a depth.
     """
     spark = pages.sparkSession
     origins = sorted({"{0.scheme}://{0.netloc}".format(urlsplit(canonical(u))) for u in config.start_urls})
     origin = F.regexp_extract("url", "^(https?://[^/]+)", 1)
     own = pages.where(origin.isin(*origins)).where(matches_patterns(F.col("url"), config.include, config.exclude))
     if config.respect_robots and robots is not None:
-        own = own.withColumn("origin", origin).join(F.broadcast(robots), "origin", "left").where(allowed(F.regexp_replace(F.regexp_replace("url", "^https?://[^/]+", ""), r"\?.*$", ""), F.col("rules"))).drop("origin", "rules")
+        path = F.regexp_replace(F.regexp_replace("url", "^https?://[^/]+", ""), r"\?.*$", "")
+        own = own.withColumn("origin", origin).join(F.broadcast(robots.where(F.col("origin").isin(*origins))), "origin", "left").where(allowed(path, F.col("rules"))).drop("origin", "rules")
     edges = written(links(own).select("url", "link"), "crawl-links")
-    reached = spark.createDataFrame([(canonical(u), 0) for u in config.start_urls], "url string, depth int").distinct().join(own.select("url"), "url", "left_semi")
+    starts = spark.createDataFrame([(canonical(u),) for u in config.start_urls], "url string")
+    starts = starts if sitemaps is None else starts.unionByName(sitemap_pages(sitemaps))
+    reached = written(starts.distinct().join(own.select("url"), "url", "left_semi").withColumn("depth", F.lit(0)), "crawl-reached")
     frontier = reached
     for depth in range(1, config.max_depth + 1):
         found = edges.join(frontier.select("url"), "url").select(F.col("link").alias("url")).distinct()
@@ -169,6 +213,6 @@ def crawl(pages: DataFrame, config: WebConfig, seen: DataFrame, robots: DataFram
         if frontier.isEmpty():
             break
         reached = reached.unionByName(frontier)
-    near = reached.withColumn("n", F.row_number().over(Window.orderBy("depth", "url"))).where(F.col("n") <= config.max_pages)
+    near = reached.orderBy("depth", "url").limit(config.max_pages)
     at = near.join(own, "url").withColumn("checksum", F.sha2("html", 256)).join(seen.select("url", F.col("checksum").alias("known")), "url", "left")
     return at.select("url", "depth", "checksum", title(F.col("html")).alias("title"), F.when(F.col("checksum").eqNullSafe(F.col("known")), "unchanged").otherwise("discovered").alias("state"))

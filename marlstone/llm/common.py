@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions.binding import let
+from marlstone.operators.tables import scratch, written
 
 __all__ = ["WORD", "few", "let", "load", "scratch", "words", "written"]
 
@@ -24,48 +21,6 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
 
-def _folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); one of this machine where it is unset, in local mode only."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="marlstone-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-_made: list[str] = []
-
-
-def _drop(spark: SparkSession) -> None:
-    """Deletes this application's intermediate tables."""
-    try:
-        for path in _made:
-            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # the session is gone; what is left is only files
-        return
-
-
-def scratch(spark: SparkSession, name: str, keep: bool = True) -> str:
-    """A new path in the shared folder. Unless it is to be kept, it goes with the application."""
-    path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    if not keep:
-        if not _made:
-            atexit.register(_drop, spark)
-        _made.append(path)
-    return path
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: a cut of the lineage that outlives executors. It is deleted when the application ends."""
-    spark = df.sparkSession
-    path = scratch(spark, name, keep=False)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def few(df: DataFrame, row_bytes: int = 16) -> DataFrame:
     """df, broadcast if its counted rows stay under BROADCAST_BYTES; otherwise Spark joins it as it likes."""
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df

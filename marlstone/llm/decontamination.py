@@ -155,8 +155,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose id is not contaminated, with all their columns."""
-    bad = few(written(contaminated(docs, benchmark, id_col, text_col).select("doc_id").distinct().toDF("_contaminated_id"), "contaminated"))
-    return docs.alias("d").join(bad, F.col(f"d.`{id_col}`").eqNullSafe(F.col("_contaminated_id")), "left_anti")
+    bad = few(written(contaminated(docs, benchmark, id_col, text_col).select("doc_id").distinct(), "contaminated"))
+    return docs.alias("own").join(bad.alias("bad"), F.col(f"own.`{id_col}`").eqNullSafe(F.col("bad.doc_id")), "left_anti")
 
 
 def op4_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,9 +16,10 @@ of the last part are sorted, so a leaf that holds most of the corpus costs a tas
 no more rows than others. A cut is one hash, so choosing documents is a filter
 that never shuffles texts.
 
-Defined results: null domain, language or source count as ''. A null text has no
-tokens. Rows with the same id share their place: all are taken or none. Leaves
-without tokens give every row once.
+Defined results: null domain, language or source count as ''. A null or empty text
+has no tokens; long ones are counted whole. Rows with the same id (or none) share
+their place: all are taken or none. Leaves without tokens give every row once. An
+empty table gives no rows. Columns pass inside a struct, whatever their names.
 """
 
 from __future__ import annotations
@@ -126,25 +127,21 @@ def leaf_columns(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", seed: int = SEED, total: float | None = None, max_epochs: int = MAX_EPOCHS, carry: list[str] | None = None) -> DataFrame:
-    """The chosen rows: columns of carry (default: all of docs), then __epoch, __domain and __tokens."""
+    """The chosen rows: row (a struct of the columns of carry, all of docs by default), epoch, domain and n_tokens."""
     own = leaf_columns(docs)
     narrow = written(docs.select(F.col(id_col).alias("doc_id"), *[c.alias(k) for k, c in own.items()]), "leaf-tokens")
-    chosen = written(plan(narrow, seed, total, max_epochs), "mixing-plan").select(*[F.col(k).alias(f"__{k}") for k in LEVELS], "epochs", "cut", F.col("n_tokens").alias("all_tokens"))
-    chosen = chosen.select(*[f"__{k}" for k in LEVELS], F.struct("epochs", "cut").alias("__plan"))
-    chosen = few(chosen, LEAF_BYTES)
-    names = docs.columns if carry is None else carry
-    at = docs.select(*[F.col(c) for c in names], F.col(id_col).alias("__id"), *[own[k].alias(f"__{k}") for k in ("domain", "n_tokens")], own["lang"].alias("__lang"), own["source"].alias("__source"))
-    at = at.join(chosen, [f"__{k}" for k in LEVELS])
-    epochs = F.concat(
-        F.when(F.col("__plan.epochs") > 0, F.sequence(F.lit(0), F.greatest(F.col("__plan.epochs") - 1, F.lit(0)))).otherwise(F.array().cast("array<int>")),
-        F.when(place(F.col("__plan.epochs"), F.col("__id"), seed) <= F.col("__plan.cut"), F.array(F.col("__plan.epochs"))).otherwise(F.array().cast("array<int>")),
-    )
-    return at.select(*names, F.explode(epochs).alias("__epoch"), "__domain", F.col("__n_tokens").alias("__tokens"))
+    chosen = few(written(plan(narrow, seed, total, max_epochs), "mixing-plan").select(*LEVELS, F.struct("epochs", "cut").alias("plan")), LEAF_BYTES)
+    # a row's own columns stay inside a struct, where no name can clash
+    at = docs.select(F.struct(*[F.col(c) for c in (docs.columns if carry is None else carry)]).alias("row"), F.col(id_col).alias("id"), *[c.alias(k) for k, c in own.items()]).join(chosen, list(LEVELS))
+    none = F.array().cast("array<int>")
+    whole = F.when(F.col("plan.epochs") > 0, F.sequence(F.lit(0), F.greatest(F.col("plan.epochs") - 1, F.lit(0)))).otherwise(none)
+    last = F.when(place(F.col("plan.epochs"), F.col("id"), seed) <= F.col("plan.cut"), F.array(F.col("plan.epochs"))).otherwise(none)
+    return at.select("row", F.explode(F.concat(whole, last)).alias("epoch"), "domain", "n_tokens")
 
 
 def op8_hierarchical_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = mix(load(spark, sf_dir, "documents"), carry=["doc_id", "lang", "source"])
-    return got.select("doc_id", F.col("__epoch").cast("bigint").alias("epoch"), F.col("__domain").alias("domain"), "lang", "source", F.col("__tokens").alias("n_tokens"))
+    return got.select("row.doc_id", F.col("epoch").cast("bigint").alias("epoch"), "domain", "row.lang", "row.source", "n_tokens")
 
 
 _WEIGHT_SQL = {

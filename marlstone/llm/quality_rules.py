@@ -5,9 +5,10 @@ a row of RULES; measure() and verdict() compile them without user functions, so
 the whole operator is one projection above the scan and never shuffles.
 
 Defined results: a null or white-space-only text has no words, all counts zero,
-and fails. Rows are judged one by one, so ties, repeated rows and ids that are
-null keep their own rows; columns of the input other than id and text are not
-read by quality_report() and pass untouched through quality_filter().
+and fails; texts of any length are measured whole. Rows are judged one by one, so
+ties, repeated rows and ids that are null keep their own rows; an empty table
+gives no rows; columns of the input other than id and text, whatever their names,
+are not read by quality_report() and pass untouched through quality_filter().
 """
 
 from __future__ import annotations

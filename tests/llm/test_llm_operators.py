@@ -237,7 +237,7 @@ def test_decontamination(spark, docs):
 
 def test_mixing(spark, docs):
     got = mixing.mix(docs)
-    assert got.columns[: len(docs.columns)] == docs.columns and got.count() > 0
+    assert got.select("row.*").columns == docs.columns and got.select("row.*").distinct().count() <= docs.distinct().count()
     nodes = spark.createDataFrame([(0, "a", 1.0, 10.0, 100.0), (0, "b", 1.0, 100.0, 100.0), (0, "c", 2.0, 100.0, 100.0)], "p int, name string, weight double, most double, total double")
     assert {r.name: round(r.given, 6) for r in mixing.shared_out(nodes, ["p"]).collect()} == {"a": 10.0, "b": 30.0, "c": 60.0}
 

@@ -27,13 +27,11 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def _drop(spark: SparkSession) -> None:
-    """Deletes this application's intermediate tables."""
-    try:
-        for path in _made:
-            delete(spark, path)
-    except Exception:  # the session is gone; what is left is only files
-        return
+def drop_made(jvm, settings) -> None:
+    """Deletes this application's intermediate tables. The JVM outlives a stopped session, so neither needs one."""
+    while _made:
+        at = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        at.getFileSystem(settings).delete(at, True)
 
 
 def scratch(spark: SparkSession, name: str, keep: bool = True) -> str:
@@ -41,7 +39,7 @@ def scratch(spark: SparkSession, name: str, keep: bool = True) -> str:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     if not keep:
         if not _made:
-            atexit.register(_drop, spark)
+            atexit.register(drop_made, spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration())
         _made.append(path)
     return path
 

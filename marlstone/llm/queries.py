@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from marlstone.llm.decontamination import OP4_SQL, op4_spaced_seeds
+from marlstone.llm.embedding_whitening import op13_whitening_svd
+from marlstone.llm.filter_audit import OP11_SQL, op11_filter_audit
 from marlstone.llm.html_extraction import op1_tag_path_ratios
 from marlstone.llm.mixing import OP8_SQL, op8_hierarchical_mixing
 from marlstone.llm.pii_boosting import op3_pii_boosted
@@ -24,10 +26,13 @@ QUERIES = {
     "op8_hierarchical_mixing": op8_hierarchical_mixing,
     "op9_quality_rules": op9_quality_rules,
     "op10_repair_token_files": op10_repair_token_files,
+    "op11_filter_audit": op11_filter_audit,
+    "op13_whitening_svd": op13_whitening_svd,
 }
 ORACLE_SQL = {
     "op4_spaced_seeds": OP4_SQL,
     "op5_relative_lempel_ziv": OP5_SQL,
     "op8_hierarchical_mixing": OP8_SQL,
     "op9_quality_rules": OP9_SQL,
+    "op11_filter_audit": OP11_SQL,
 }

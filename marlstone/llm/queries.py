@@ -14,6 +14,7 @@ from marlstone.llm.simhash_neardup import op7_simhash_pigeonring
 from marlstone.llm.substring_dedup import OP5_SQL, op5_relative_lempel_ziv
 from marlstone.llm.token_counts import op2_token_counts
 from marlstone.llm.token_files import op10_repair_token_files
+from marlstone.llm.toxicity import op12_noisy_channel
 
 QUERIES = {
     "op1_tag_path_ratios": op1_tag_path_ratios,
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_repair_token_files": op10_repair_token_files,
     "op11_filter_audit": op11_filter_audit,
+    "op12_noisy_channel": op12_noisy_channel,
     "op13_whitening_svd": op13_whitening_svd,
 }
 ORACLE_SQL = {

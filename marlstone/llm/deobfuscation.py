@@ -35,7 +35,9 @@ LOOKS = {
 }
 SEPARATORS = " ._-*~/\\'"
 #: Costs of the channel, in nats.
-LOOK, LITERAL, DROPPED, DROPPED_SPACED, KEPT, KEPT_SPACED, LONG_RUN, PAIR = 1.0, 4.0, 3.0, 0.2, 0.5, 1.5, 0.2, 3.0
+LOOK, WILD, LITERAL = 1.0, 1.5, 4.0
+DROPPED, DROPPED_SPACED, KEPT, KEPT_SPACED = 3.0, 0.2, 0.5, 1.5
+LONG_RUN, PAIR = 0.2, 3.0
 #: A lattice is read in stretches: beyond so many characters the best path so far is settled, which bounds memory for any token.
 STRETCH = 256
 #: Tokens that a task remembers.
@@ -140,6 +142,23 @@ def _has_run(text: str) -> bool:
     return bool((same[1:] & same[:-1]).any())
 
 
+def arcs_of(seen: str, i: int, spaced: bool) -> list[tuple[str, int, float]]:
+    """What character i may mean: (written, code of the letter or 0 for a break, cost); nothing is written for a dropped one."""
+    c = seen[i]
+    separator = c in SEPARATORS
+    if c in _CODES:
+        arcs = [(c, _CODES[c], 0.0)]
+    else:
+        arcs = [(a, ord(a) - 96, LOOK + (WILD if len(LOOKS[c]) > 2 else 0.0)) for a in LOOKS.get(c, "")]
+        itself = (KEPT_SPACED if spaced else KEPT) if separator else 0.0 if c.isalpha() and c not in LOOKS else LITERAL
+        arcs.append((c, 0, itself))
+    if separator:
+        arcs.append(("", 0, DROPPED_SPACED if spaced else DROPPED))
+    elif i and seen[i - 1] == c and (c in _CODES or c in LOOKS):
+        arcs.append(("", 0, LONG_RUN if c * 3 in seen[max(0, i - 2) : i + 2] else PAIR))
+    return arcs
+
+
 class Reader:
     """Reads texts under a model; it remembers tokens that it has read."""
 
@@ -149,35 +168,21 @@ class Reader:
     def read(self, seen: str, spaced: bool = False) -> str:
         """The likeliest reading of a lower-case token, or of a run of single letters with separators."""
         model, wrap = self.model, BASE**3
-        paths: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
+        paths: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}  # by the last three letters
         settled: list[str] = []
-        dropped, kept = (DROPPED_SPACED, KEPT_SPACED) if spaced else (DROPPED, KEPT)
-        for i, c in enumerate(seen):
-            repeated = i > 0 and seen[i - 1] == c
-            # (emitted, its code, cost); code None: a break of its own, emitted empty: nothing
-            arcs: list[tuple[str, int, float]] = []
-            if c in _CODES:
-                arcs.append((c, _CODES[c], 0.0))
-            else:
-                arcs += [(a, ord(a) - 96, LOOK + (1.5 if len(LOOKS[c]) > 2 else 0.0)) for a in LOOKS.get(c, "")]
-                arcs.append((c, 0, kept if c in SEPARATORS else 0.0 if c.isalpha() and c not in LOOKS else LITERAL))
-            drop = None
-            if c in SEPARATORS:
-                drop = dropped
-            elif repeated and (c in _CODES or c in LOOKS):
-                long = (i > 1 and seen[i - 2] == c) or (i + 1 < len(seen) and seen[i + 1] == c)
-                drop = LONG_RUN if long else PAIR
+        for i in range(len(seen)):
             after: dict[int, tuple[float, tuple | None]] = {}
+            arcs = arcs_of(seen, i, spaced)
             for h, (cost, node) in paths.items():
                 for a, code, extra in arcs:
-                    if code:
-                        to, total = (h * BASE + code) % wrap, cost + extra + model[h * BASE + code]
+                    if not a:
+                        to, total, path = h, cost + extra, node
+                    elif code:
+                        to, total, path = (h * BASE + code) % wrap, cost + extra + model[h * BASE + code], (node, a)
                     else:
-                        to, total = 0, cost + extra + (model[h * BASE] if h else 0.0)
+                        to, total, path = 0, cost + extra + (model[h * BASE] if h else 0.0), (node, a)
                     if to not in after or total < after[to][0]:
-                        after[to] = (total, (node, a))
-                if drop is not None and (h not in after or cost + drop < after[h][0]):
-                    after[h] = (cost + drop, node)
+                        after[to] = (total, path)
             paths = after
             if (i + 1) % STRETCH == 0:
                 h, (cost, node) = min(paths.items(), key=lambda x: (x[1][0], x[0]))

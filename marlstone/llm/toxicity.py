@@ -40,6 +40,8 @@ SHORTEST, LONGEST = 3, 6
 #: Toxic documents that a sequence must be in at least to be looked at.
 LEAST_DOCUMENTS = 3
 THRESHOLD = 0.3
+#: Of squared weights. Little, as one telling word has to do.
+PENALTY = 3e-4
 
 
 def held_out(doc_id: Column) -> Column:
@@ -150,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
 
     held = written(rows.mapInArrow(hold, "toxic int, grams array<string>"), "toxic-features")
     vectors = CountVectorizerModel.from_vocabulary(chosen, inputCol="grams", outputCol="features", minTF=1.0).setBinary(True).transform(held)
-    fitted = LogisticRegression(labelCol="toxic", featuresCol="features", regParam=0.002, standardization=False, maxIter=60).fit(vectors)
+    fitted = LogisticRegression(labelCol="toxic", featuresCol="features", regParam=PENALTY, standardization=False, maxIter=60).fit(vectors)
     return Scorer(model, dict(zip(chosen, map(float, fitted.coefficients.toArray()))), float(fitted.intercept))
 
 

@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import cron, net, vectors
 from marlstone.functions import text as tx
-from marlstone.operators import chat, chunking, context, conversation, convert, evaluation, events, gaps, grounding, ingest, lexical, ports, prompts, reports, retrieval, tenancy
+from marlstone.operators import chat, chunking, context, conversation, convert, evaluation, events, gaps, grounding, ingest, lexical, percolator, ports, prompts, reports, retrieval, tenancy
+from marlstone.operators.postings import Postings
 from marlstone.operators.tables import scratch
+from marlstone.operators.vector_index import VectorIndex
 from marlstone.sources import files, store, web
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,6 +114,59 @@ def websearch_query(spark, sf_dir):
     return at.where(lexical.matches(F.col("w"), q)).select("doc_id", F.round(lexical.rank(F.col("w"), q), 6).alias("score"))
 
 
+# --- indexes -----------------------------------------------------------------
+
+
+@query(f"WITH {_SIMILAR} SELECT query_id, vec_id AS id, similarity, vector_rank::INT AS vector_rank FROM vec")
+def vector_index_exact(spark, sf_dir):
+    """Nearest vectors through the index: the first cells, then all cells that may hold something nearer."""
+    index = VectorIndex.build(load(spark, sf_dir, "embeddings"), id_col="vec_id")
+    return index.search(_asked(spark, sf_dir), exact=True)
+
+
+@query()
+def vector_index_probes(spark, sf_dir):
+    """Nearest vectors in the first cells of each query, as many as found 95 % of the neighbours of a sample."""
+    index = VectorIndex.build(load(spark, sf_dir, "embeddings"), id_col="vec_id")
+    return index.search(_asked(spark, sf_dir))
+
+
+@query(f"WITH {_LEXICAL} SELECT query_id, doc_id AS id, lexical_score, lexical_rank::INT AS lexical_rank FROM lex")
+def postings_topk(spark, sf_dir):
+    """R2, L1: the ranking of lexical_topk, read from stored postings."""
+    index = Postings.build(load(spark, sf_dir, "documents"))
+    return index.search(_questions(spark, sf_dir), need_all=False)
+
+
+def _web_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query of each benchmark item's words: two of them without a third, or a phrase."""
+    w = F.filter(lexical.identity_analyser(F.coalesce("text", F.lit(""))), lambda x: x != "or")
+    at = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), w.alias("w")).where("size(w) >= 6")
+    return at.select("query_id", F.format_string('%s %s -%s OR "%s %s"', *[F.col("w")[k] for k in (0, 1, 2, 3, 4)]).alias("query"))
+
+
+_WEB_TABLE_SQL = f"""
+WITH d AS (SELECT doc_id, {_TOKENS} AS t, ' ' || array_to_string({_TOKENS}, ' ') || ' ' AS line FROM documents),
+q AS (SELECT item_id, list_filter({_TOKENS}, lambda x: x <> 'or') AS w FROM benchmark)
+SELECT item_id AS query_id, doc_id AS id FROM d, q
+WHERE len(w) >= 6 AND ((list_contains(t, w[1]) AND list_contains(t, w[2]) AND NOT list_contains(t, w[3])) OR contains(line, ' ' || w[4] || ' ' || w[5] || ' '))"""
+
+
+@query(_WEB_TABLE_SQL)
+def postings_match(spark, sf_dir):
+    """L2: a table of web-search queries answered from stored postings, phrases by their positions."""
+    return Postings.build(load(spark, sf_dir, "documents")).match(_web_queries(spark, sf_dir)).select("query_id", "id")
+
+
+@query(_WEB_TABLE_SQL)
+def percolated_queries(spark, sf_dir):
+    """L2: stored queries that each document matches, found by each query's rarest word."""
+    return percolator.percolate(load(spark, sf_dir, "documents"), _web_queries(spark, sf_dir))
+
+
+# --- fusion ------------------------------------------------------------------
+
+
 @query(f"""
 WITH {_SIMILAR}, {_LEXICAL}, f AS (
   SELECT coalesce(v.query_id, l.query_id) AS query_id, coalesce(v.vec_id, l.doc_id) AS id, similarity, vector_rank, lexical_rank,

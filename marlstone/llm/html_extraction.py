@@ -12,13 +12,17 @@ above a share of the page's weighted mean are content.
 Blocks of other paths are headings, captions, short paragraphs and lists, or what
 surrounds an article. A block is taken with the largest element around it that
 holds no content. Where content stands beside that element, in the same parent,
-the element belongs to the article unless it is mostly links or bears such a name;
+the element belongs to the article unless it bears such a name, or is mostly links
+and does not stand between content, or a heading, and content;
 where content only stands deeper, it belongs to it only as a heading that content
 follows. Elements that are no article text by themselves (nav, footer, form, ...)
 and what is not shown never take part. There is no rule for article or main.
 
 Unclosed and misnested tags follow the usual rules: a paragraph ends where a
-block starts, list items and table cells end where the next one starts.
+block starts, list items and table cells end where the next one starts. A page that
+ends inside a tag ends before it; scripts and the like end at their end tags only, and
+other elements that are skipped end with their parent, or at the next tag if nothing
+closes them. The scan is linear in the page, whatever is left open.
 
 Defined results: a null or empty page gives empty text, and so does one without
 text; pages, attribute values and character references of any length are read
@@ -46,6 +50,9 @@ from marlstone.llm.common import load
 
 #: Elements whose content is never text of the page.
 RAW = "script style noscript template svg math iframe object embed applet audio video canvas map title select textarea button option datalist".split()
+#: Those whose content is text up to their end tag, so that an end tag of something else ends nothing, and those that may close themselves.
+TEXT_ONLY = "script style title textarea iframe noscript".split()
+FOREIGN = "svg math".split()
 #: Elements that are not part of an article.
 ASIDE = "nav footer aside form menu dialog search fieldset".split()
 BLOCKS = (
@@ -68,7 +75,7 @@ _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "t
 _STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "tfoot": {"table"}}
 _RAW_SET, _ASIDE_SET, _BLOCK_SET, _VOID_SET, _ROLE_SET, _NAME_SET, _PLAIN_SET = map(frozenset, (RAW, ASIDE, BLOCKS, VOID, ROLES, NAMES, PLAIN))
 #: Attributes: quoted values hold anything but their quote, unquoted ones end at white space; a quote inside one is part of it.
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[^>])*+)>", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[^>])*+)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?")
 _SPACE = re.compile(r"\s+")
 _WORDS = re.compile(r"[a-z]+")
@@ -166,6 +173,31 @@ def parse(page: str) -> tuple[list[Node], list[Block]]:
         del stack[upto:]
         now = None
 
+    ends: dict[str, re.Match | None] = {}
+
+    def end_of(tag: str, at: int) -> int:
+        """Where the content of an element that is skipped ends. A search that found something farther on, or nothing, is not made again."""
+        if tag not in ends or ends[tag] is not None and ends[tag].start() < at:
+            if tag not in _ends:
+                _ends[tag] = re.compile(rf"</{tag}\b[^>]*>", re.I)
+            ends[tag] = _ends[tag].search(page, at)
+        end = ends[tag]
+        if tag in TEXT_ONLY:
+            return end.end() if end else len(page)
+        if end is None:  # never closed: only the text that follows is its own
+            k = page.find("<", at)
+            return k if k >= 0 else len(page)
+        up = nodes[stack[-1]].tag
+        if up:  # it ends with its parent, too
+            if f"/{up}" not in _ends:
+                _ends[f"/{up}"] = re.compile(rf"<(/?){up}\b", re.I)
+            open_ones = 0
+            for m in _ends[f"/{up}"].finditer(page, at, end.start()):
+                open_ones += -1 if m[1] else 1
+                if open_ones < 0:
+                    return m.start()
+        return end.end()
+
     at, n = 0, len(page)
     while at < n:
         m = _TAG.search(page, at)
@@ -180,6 +212,8 @@ def parse(page: str) -> tuple[list[Node], list[Block]]:
             if m[0].startswith("<![CDATA["):
                 say(m[0][9:-3])
             continue
+        if page[at - 1] != ">":  # the page ends inside a tag
+            break
         tag = tag.lower()
         if m[1]:
             if tag == "a":
@@ -194,11 +228,8 @@ def parse(page: str) -> tuple[list[Node], list[Block]]:
                 close(k)
             continue
         if tag in _RAW_SET:
-            if not m[3].endswith("/") and tag not in _VOID_SET:
-                if tag not in _ends:
-                    _ends[tag] = re.compile(rf"</{tag}\s*>", re.I)
-                end = _ends[tag].search(page, at)
-                at = end.end() if end else n
+            if tag not in _VOID_SET and not (tag in FOREIGN and m[3].endswith("/")):
+                at = end_of(tag, at)
             continue
         if tag in ("br", "wbr"):
             if now is not None and tag == "br":
@@ -267,14 +298,15 @@ def main_text(page: str | None) -> str:
     chosen = content_paths([(nodes[k].path, t, linked, nodes[k].named) for k, t, linked in own])
     is_content = [nodes[k].path in chosen for k, *_ in own]
     n = len(nodes)
-    holds, beside, length, links, only_headings, last = [False] * n, [False] * n, [0] * n, [0] * n, [True] * n, [-1] * n
+    holds, beside, length, links, only_headings = [False] * n, [False] * n, [0] * n, [0] * n, [True] * n
+    first, last = [len(own)] * n, [-1] * n
     for at, ((k, t, linked), good) in enumerate(zip(own, is_content, strict=True)):
         holds[k] |= good
         length[k] += len(t)
         links[k] += min(linked, len(t))
         headed, up = nodes[k].tag in _HEADINGS, k
         only_headings[k] &= headed
-        last[k] = max(last[k], at)
+        first[k], last[k] = min(first[k], at), max(last[k], at)
         if good:  # content stands in k, so whatever k's parent holds stands beside it; deeper text leaves its line to its block
             beside[k] = True
             while nodes[up].tag in _FLOW:
@@ -286,7 +318,7 @@ def main_text(page: str | None) -> str:
         length[up] += length[k]
         links[up] += links[k]
         only_headings[up] &= only_headings[k]
-        last[up] = max(last[up], last[k])
+        first[up], last[up] = min(first[up], first[k]), max(last[up], last[k])
     # the next block after each that is no heading, and the nearest element around it and a block before it
     out, next_content = [], [False] * (len(own) + 1)
     for at in range(len(own) - 1, -1, -1):
@@ -302,7 +334,10 @@ def main_text(page: str | None) -> str:
             if holds[k]:  # bare text of an element that holds content
                 good = beside[k]
             elif beside[around]:
-                good = links[top] <= MOST_LINKED * length[top] and not nodes[top].named
+                # links between a heading or content and content are a list of the article's
+                before = first[top] - 1
+                between = before >= first[around] and (is_content[before] or nodes[own[before][0]].tag in _HEADINGS) and last[top] < last[around] and next_content[last[top] + 1]
+                good = (between or links[top] <= MOST_LINKED * length[top]) and not nodes[top].named
             else:
                 good = only_headings[top] and not nodes[top].named and next_content[last[top] + 1]
         if good:

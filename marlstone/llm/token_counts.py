@@ -51,11 +51,14 @@ def tokenizer_digest(path: str) -> str:
 
 
 def read_cache(spark: SparkSession, path: str, version: str) -> DataFrame:
+    """digest, n_tokens: one row for each digest, however often runs at once or a repeated append have stored it. Counts that differ are an error."""
     try:
         kept = spark.read.schema(CACHE).parquet(path)
     except AnalysisException:  # no cache yet
         kept = spark.createDataFrame([], CACHE)
-    return kept.where(F.col("tokenizer") == version).select("digest", "n_tokens")
+    each = kept.where(F.col("tokenizer") == version).groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"), F.max("n_tokens").alias("most"))
+    differ = F.assert_true(F.col("n_tokens") == F.col("most"), F.lit("the cache has different counts for one digest")).isNull()
+    return each.where(differ).select("digest", "n_tokens")
 
 
 def _checked(tokenizer_path: str) -> str:

@@ -37,3 +37,21 @@ def test_any_text(text):
 @pytest.mark.parametrize("text", ["", " ", "\n", "word " * 5000, "x" * 20000, "a  b   c\n\n\nd ", " lead", "\nlead", "tail\n\n"])
 def test_edges(text):
     check(text)
+
+
+def test_digests_stored_twice(spark, tmp_path):
+    import public_tokenizers
+    import pytest
+    from pyspark.sql import functions as F
+
+    from marlstone.llm.token_counts import token_counts
+
+    cache, tokenizer = str(tmp_path / "cache"), public_tokenizers.path("word_bpe_49k.json")
+    docs = spark.createDataFrame([(1, "one text"), (2, "another text")], "doc_id bigint, text string")
+    first = sorted(map(tuple, token_counts(docs, tokenizer, cache).collect()))
+    spark.read.parquet(cache).write.mode("append").parquet(str(tmp_path / "again"))
+    spark.read.parquet(str(tmp_path / "again")).write.mode("append").parquet(cache)
+    assert sorted(map(tuple, token_counts(docs, tokenizer, cache).collect())) == first and len(first) == 2
+    spark.read.parquet(str(tmp_path / "again")).withColumn("n_tokens", F.col("n_tokens") + 1).write.mode("append").parquet(cache)
+    with pytest.raises(Exception, match="different counts"):
+        token_counts(docs, tokenizer, cache).collect()

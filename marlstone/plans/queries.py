@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import cron, net, vectors
 from marlstone.functions import text as tx
-from marlstone.operators import chat, chunking, context, conversation, convert, evaluation, events, gaps, grounding, ingest, lexical, percolator, ports, prompts, reports, retrieval, tenancy
+from marlstone.operators import chat, chunking, context, conversation, convert, evaluation, events, gaps, grounding, ingest, lexical, percolator, ports, prompts, reports, retrieval, snapshots, tenancy
 from marlstone.operators.postings import Postings
 from marlstone.operators.tables import scratch
 from marlstone.operators.vector_index import VectorIndex
 from marlstone.sources import files, store, web
+from marlstone.streaming import worker
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -848,6 +849,83 @@ def chat_messages(spark, sf_dir):
     return _chat(spark, sf_dir).messages.select("request_id", F.col("turn").cast("bigint").alias("turn"), "role", "cost")
 
 
+_THREADS_SQL = f"""
+WITH u AS (
+  SELECT conv_id, conv_id * 1000 + turn AS request_id, text AS said, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS own,
+         lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n
+  FROM conversations WHERE role = 'user' AND length(text) <= 4000 AND regexp_matches(text, '\\S')),
+q AS (SELECT *, regexp_replace(before || ' ' || said, '^\\s+|\\s+$', '', 'g') AS longer FROM u),
+a AS (SELECT *, CASE WHEN before IS NOT NULL AND length(longer) <= length(own) + 300 THEN longer END AS rewritten, coalesce(rewritten, own) AS text FROM q),
+ask AS (SELECT request_id, list_distinct({_TOKENS}) AS terms FROM a),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents) GROUP BY ALL),
+hits AS (
+  SELECT request_id, doc_id, round(10 * round(sum(round(list_sum(list_transform(range(1, tf + 1), lambda i: 0.1 / (i * i)::DOUBLE)) / 1.6449340668482264, 12)) / any_value(len(terms)), 9), 6) AS similarity
+  FROM (SELECT request_id, terms, unnest(terms) AS term FROM ask) JOIN tf USING (term) GROUP BY request_id, doc_id),
+best AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY similarity DESC, doc_id) = 1)
+SELECT a.request_id, (2 * (n - 1))::BIGINT AS turn, md5(rewritten) AS resolved_md5, coalesce(similarity >= 0.6, false) AS generated, CASE WHEN similarity >= 0.6 THEN doc_id::VARCHAR END AS cited
+FROM a LEFT JOIN best USING (request_id)"""
+
+
+@query(_THREADS_SQL)
+def chat_threads(spark, sf_dir):
+    """V5: all questions of each conversation in their order, against documents; one that follows another is asked with it."""
+    asked = load(spark, sf_dir, "conversations").where("role = 'user'")
+    name, none = F.col("conv_id").cast("string"), F.lit(None).cast("string")
+    requests = asked.select((F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"), F.lit("t").alias("tenant_id"), name.alias("conversation_id"), F.lit("web").alias("channel"), none.alias("external_id"), F.col("text").alias("question"), "turn")
+    known = asked.select(name.alias("id"), F.lit("web").alias("channel"), none.alias("external_id"), F.lit("OPEN").alias("status")).distinct()
+    docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    index = Postings.build(docs, id_col="id", text_col="content")
+
+    def search(questions: DataFrame) -> DataFrame:
+        found = index.search(questions.select("query_id", lexical.identity_analyser(F.col("question")).alias("terms")), 3, need_all=False)
+        return found.join(docs, "id").select("query_id", "id", F.col("lexical_rank").alias("rank"), F.round(F.col("lexical_score") * 10, 6).alias("similarity"), "content")
+
+    def resolve(question, history):
+        users = F.filter(history, lambda m: F.upper(m["role"]) == "USER")
+        return F.struct((F.size(users) > 0).alias("is_follow_up"), F.concat(F.element_at(users, -1)["text"], F.lit(" "), question).alias("standalone"), F.lit(0.5).alias("cost"))
+
+    none_said = spark.createDataFrame([], "conv_id string, turn long, role string, text string")
+    out = chat.replay_in_order(requests, known, none_said, search, "turn", resolve=resolve, threshold=0.6)
+    turns = out.messages.where("role = 'USER'").select("request_id", "turn")
+    cited = F.get(F.col("citations"), F.lit(0))["chunk_id"]
+    return turns.join(out.replies, "request_id").select("request_id", "turn", F.md5("resolved_question").alias("resolved_md5"), "generated", F.when(F.col("generated"), cited).alias("cited"))
+
+
+_NORMAL_SQL = "regexp_replace(regexp_replace(regexp_replace({0}, '[ \\t]+(\\n|$)', '\\1', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')"
+
+
+@query(f"""
+SELECT 'doc-' || doc_id AS source_ref, 1::INT AS version, doc_id % 3 <> 0 AS is_active, sha256({_NORMAL_SQL.format("text")}) AS checksum FROM documents
+UNION ALL SELECT 'doc-' || doc_id, 2, true, sha256({_NORMAL_SQL.format("text || ' revised'")}) FROM documents WHERE doc_id % 3 = 0""")
+def ingest_published(spark, sf_dir):
+    """Two batches of files as two commits; the second has a third of the documents with new texts, and the others again."""
+    docs = load(spark, sf_dir, "documents")
+    none = F.lit(None).cast("string")
+
+    def files_in(text):
+        return docs.select(F.col("doc_id").alias("file_id"), F.col("source").alias("tenant_id"), none.alias("document_id"), F.concat(F.lit("doc-"), F.col("doc_id")).alias("source_ref"), none.alias("title"), none.alias("source_id"), F.lit("a.md").alias("filename"), F.lit("text/markdown").alias("mime_type"), F.encode(text, "UTF-8").alias("content"), none.alias("category"), F.array().cast("array<string>").alias("tags"), none.alias("department"))
+
+    state, now = snapshots.Snapshots(spark, scratch(spark, "collection", keep=False)), F.lit(NOW).cast("timestamp")
+    ingest.ingest_and_publish(state, files_in(F.col("text")), ports.deterministic(384), now)
+    revised = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" revised"))).otherwise(F.col("text"))
+    number, _ = ingest.ingest_and_publish(state, files_in(revised), ports.deterministic(384), now)
+    refs = state.read("documents", ingest.DOCUMENTS, number).select(F.col("id").alias("document_id"), "source_ref")
+    return ingest.published_versions(state, number).join(refs, "document_id").select("source_ref", "version", "is_active", "checksum")
+
+
+@query("""
+SELECT event_id::VARCHAR AS id, CASE WHEN event_id % 7 < 5 THEN 'DONE' ELSE 'DEAD' END AS status, least(event_id % 7 + 1, 5)::INT AS attempts FROM events""")
+def outbox_retries(spark, sf_dir):
+    """Every event through a worker, cycle by cycle; an event fails as often as its number modulo seven says."""
+    at = worker.Worker(spark, scratch(spark, "outbox", keep=False))
+    gap = F.to_json(F.struct(F.col("event_type").alias("question"), F.lit("NO_RESULTS").alias("reason")))
+    at.publish(load(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("id"), F.col("user_id").cast("string").alias("tenant_id"), F.lit("knowledge.gap").alias("type"), gap.alias("payload")))
+    at.on("knowledge.gap", lambda events: events.select("id", F.when(F.col("attempts") < F.col("id").cast("bigint") % 7, "fails").alias("error")))
+    for k in range(5):  # the longest wait is five minutes
+        at.cycle(F.lit(f"2024-01-20 00:{10 * k:02d}:00").cast("timestamp"))
+    return at.states().select("id", "status", "attempts")
+
+
 @query("""
 WITH d AS (SELECT doc_id, doc_id % 4 AS k FROM documents)
 SELECT doc_id AS file_id, CASE WHEN k = 1 THEN 7 WHEN k = 2 THEN 8 ELSE 1 END::INT AS version, k = 1 AS unchanged FROM d""")

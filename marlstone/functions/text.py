@@ -125,9 +125,13 @@ def canonical_url(c: Column) -> Column:
     return F.regexp_replace(c, "#.*$", "")
 
 
+#: Fixed value: characters of a storage key.
+MOST_KEY = 512
+
+
 def valid_storage_key(c: Column) -> Column:
-    """Keys are path segments of letters, digits, dot, underscore and hyphen, none of them hidden or going up."""
-    return F.forall(F.split(c, "/"), lambda part: part.rlike(r"\A[A-Za-z0-9][A-Za-z0-9._-]*\z"))
+    """Keys are path segments of letters, digits, dot, underscore and hyphen, none of them hidden or going up, and of 512 characters at most."""
+    return (F.length(c) <= MOST_KEY) & F.forall(F.split(c, "/"), lambda part: part.rlike(r"\A[A-Za-z0-9][A-Za-z0-9._-]*\z"))
 
 
 def document_key(tenant: Column, document: Column, extension: Column) -> Column:

@@ -273,3 +273,20 @@ def test_prompt_seeding(spark):
 def test_resolver_is_not_asked_without_history(spark):
     r = conversation.resolved(F.lit("q"), F.lit(0), F.lit(True), F.lit("other"))
     assert spark.range(1).select(r.alias("r")).first().r.question == "q"
+
+
+def test_strict_schema_of_nested_schemas():
+    inner = {"type": "object", "properties": {"a": {"type": "string"}, "b": {"type": ["integer", "null"]}, "c": {"enum": [1]}, "d": 5}, "required": ["a"]}
+    given = {"type": "object", "title": "t", "properties": {"one": inner, "many": {"type": "array", "items": inner}, "maybe": inner}, "required": ["one", "many"]}
+    before = repr(given)
+    own = ports.strict_schema(given)
+    closed = {"type": "object", "properties": {"a": {"type": "string"}, "b": {"type": ["integer", "null"]}, "c": {"enum": [1]}, "d": 5}, "required": ["a", "b", "c", "d"], "additionalProperties": False}
+    assert own == {"type": "object", "title": "t", "properties": {"one": closed, "many": {"type": "array", "items": closed}, "maybe": closed | {"type": ["object", "null"]}}, "required": ["one", "many", "maybe"], "additionalProperties": False}
+    assert repr(given) == before and ports.strict_schema({"type": "string"}) == {"type": "string"} and ports.strict_schema({}) == {}
+
+
+def test_long_storage_keys(spark):
+    from marlstone.functions import text as tx
+
+    rows = spark.createDataFrame([("a" * 512,), ("a" * 513,), ("a/b.md",), ("../a",)], "k string")
+    assert [r[0] for r in rows.select(tx.valid_storage_key(F.col("k"))).collect()] == [True, False, True, False]

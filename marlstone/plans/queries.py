@@ -19,7 +19,7 @@ from marlstone.operators.postings import Postings
 from marlstone.operators.tables import scratch
 from marlstone.operators.vector_index import VectorIndex
 from marlstone.sources import files, store, web
-from marlstone.streaming import worker
+from marlstone.streaming import limiter, worker
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -687,7 +687,7 @@ def outbox_transitions(spark, sf_dir):
     return at.join(kind, "id").select("id", "status", events.after_failure(F.col("attempts"), F.lit(events.MAX_ATTEMPTS), F.col("event_type") == "purchase").alias("after_failure"), events.backoff_ms(F.col("attempts"), F.lit(0.5)).alias("backoff_ms"))
 
 
-@query("""
+_LIMIT_SQL = """
 WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_ms(ts) AS ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS n FROM events),
 f AS (
   SELECT user_id, event_id, n, ms AS since, 1 AS k, true AS allowed, ms FROM e WHERE n = 1
@@ -695,12 +695,32 @@ f AS (
   SELECT e.user_id, e.event_id, e.n, CASE WHEN e.ms - f.since >= 21600000 THEN e.ms ELSE f.since END,
          CASE WHEN e.ms - f.since >= 21600000 THEN 1 WHEN f.k < 2 THEN f.k + 1 ELSE f.k END, e.ms - f.since >= 21600000 OR f.k < 2, e.ms
   FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1)
-SELECT user_id, event_id, allowed, CASE WHEN NOT allowed THEN greatest(1, ceil((since + 21600000 - ms) / 1000))::BIGINT END AS retry_after FROM f""")
+SELECT user_id, event_id, allowed, CASE WHEN NOT allowed THEN greatest(1, ceil((since + 21600000 - ms) / 1000))::BIGINT END AS retry_after FROM f"""
+
+
+@query(_LIMIT_SQL)
 def rate_limit(spark, sf_dir):
     """Two events of a user in six hours."""
     return events.limited(load(spark, sf_dir, "events"), 2, 6 * 3600, "user_id")
 
 
+@query(_LIMIT_SQL)
+def rate_limit_stream(spark, sf_dir):
+    """The same as a stream of eight stretches of time, whose state is that of open windows."""
+    root = scratch(spark, "requests", keep=False)
+    at = load(spark, sf_dir, "events").select(F.col("user_id").alias("key_id"), "event_id", "ts")
+    first, last = at.agg(F.min(F.unix_millis("ts")), F.max(F.unix_millis("ts"))).first()
+    for k in range(8):
+        low, high = (first + (last - first) * x // 8 for x in (k, k + 1))
+        here = (F.unix_millis("ts") >= low) & (F.unix_millis("ts") < high if k < 7 else F.lit(True))
+        at.where(here).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    stream = spark.readStream.schema(at.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    found = limiter.limited_by_event_time(stream, 2, 6 * 3600, delay_seconds=3600)
+    found.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(limiter.OUT).parquet(f"{root}/out").withColumnRenamed("key_id", "user_id")
+
+
 @query("""
 WITH w AS (SELECT event_id, timezone('Europe/Madrid', timezone('UTC', ts)) AS t FROM events)
 SELECT event_id, extract(minute FROM t) % 5 = 0 AND extract(hour FROM t) BETWEEN 6 AND 20 AND (extract(day FROM t) IN (1, 15) OR extract(dow FROM t) BETWEEN 1 AND 5) AS fires FROM w""")

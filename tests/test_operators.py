@@ -336,3 +336,20 @@ def test_limiter_stream_equals_batch(spark, tmp_path):
     got = sorted((r.event_id, r.allowed, r.retry_after) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == sorted((r.event_id, r.allowed, r.retry_after) for r in events.limited(at, 2).collect())
     assert [x[1] for x in got] == [True, True, False, False, False, True, True]
+
+
+def test_limiter_by_event_time_forgets_closed_windows(spark, tmp_path):
+    from marlstone.streaming import limiter
+
+    start = dt.datetime(2026, 1, 1)
+    rows = [(k % 20 + 20 * (k // 100), k, start + dt.timedelta(seconds=3 * k)) for k in range(600)]  # twenty keys at a time, others every five minutes
+    at = spark.createDataFrame(rows, "key_id bigint, event_id bigint, ts timestamp")
+    for k in range(6):
+        at.where(f"event_id >= {100 * k} and event_id < {100 * k + 100}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(at.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    run = limiter.limited_by_event_time(stream, 2).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    got = sorted((r.event_id, r.allowed, r.retry_after) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == sorted((r.event_id, r.allowed, r.retry_after) for r in events.limited(at, 2).collect()) and len(got) == 600
+    states = [p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress if p["stateOperators"]]
+    assert states[-1] <= 3 * 20 < 3 * 120, states  # 120 keys have been seen

@@ -708,7 +708,7 @@ def rate_limit(spark, sf_dir):
 def rate_limit_stream(spark, sf_dir):
     """The same as a stream of eight stretches of time, whose state is that of open windows."""
     root = scratch(spark, "requests", keep=False)
-    at = load(spark, sf_dir, "events").select(F.col("user_id").alias("key_id"), "event_id", "ts")
+    at = load(spark, sf_dir, "events").select(F.col("user_id").alias("key_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"))
     first, last = at.agg(F.min(F.unix_millis("ts")), F.max(F.unix_millis("ts"))).first()
     for k in range(8):
         low, high = (first + (last - first) * x // 8 for x in (k, k + 1))

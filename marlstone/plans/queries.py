@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import cron, net, vectors
 from marlstone.functions import text as tx
-from marlstone.operators import chat, chunking, context, conversation, convert, evaluation, events, gaps, grounding, ingest, lexical, percolator, ports, prompts, reports, retrieval, snapshots, tenancy
+from marlstone.operators import chat, chunking, context, conversation, convert, evaluation, events, gaps, grounding, ingest, lexical, percolator, ports, prompts, reports, retrieval, snapshots, stemming, tenancy
 from marlstone.operators.postings import Postings
 from marlstone.operators.tables import scratch
 from marlstone.operators.vector_index import VectorIndex
@@ -165,6 +165,14 @@ def percolated_queries(spark, sf_dir):
     return percolator.percolate(load(spark, sf_dir, "documents"), _web_queries(spark, sf_dir))
 
 
+@query()
+def english_stems(spark, sf_dir):
+    """L1, L4: stems of English documents, made once for each different word, and how many documents have them."""
+    docs = load(spark, sf_dir, "documents").where("lang = 'en'")
+    words = docs.select("doc_id", F.explode(F.array_distinct(lexical.stopping_analyser("english")(F.coalesce("text", F.lit(""))))).alias("term"))
+    return stemming.with_stems(words, "english").groupBy("stem").agg(F.countDistinct("doc_id").alias("n_documents"))
+
+
 # --- fusion ------------------------------------------------------------------
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import cron, net, vectors
 from marlstone.functions import text as tx
-from marlstone.operators import chat, chunking, context, conversation, convert, evaluation, events, gaps, grounding, ingest, lexical, percolator, ports, prompts, reports, retrieval, snapshots, stemming, tenancy
+from marlstone.operators import chat, chunking, context, conversation, convert, evaluation, events, gaps, generation, grounding, ingest, lexical, percolator, ports, prompts, reports, retrieval, snapshots, stemming, tenancy
 from marlstone.operators.postings import Postings
 from marlstone.operators.tables import scratch
 from marlstone.operators.vector_index import VectorIndex
@@ -954,6 +954,21 @@ def outbox_retries(spark, sf_dir):
     return at.states().select("id", "status", "attempts")
 
 
+@query("""
+SELECT source, count(*) AS n, count(DISTINCT text) AS n_prompts, sum(ceil(length(text) / 4))::BIGINT AS input_tokens, round(sum(ceil(length(text) / 4) * 2 + 3 * 5) / 1e6, 9) AS cost FROM documents WHERE text IS NOT NULL GROUP BY source""")
+def generated_table(spark, sf_dir):
+    """A generation for each document over a transport that answers by length; equal texts are one request."""
+
+    def send(request: dict) -> ports.Response:
+        return ports.Response(200, data="short", input_tokens=-(-len(request["prompt"]) // 4), output_tokens=5, reason="stop")
+
+    port = ports.Generator("lengths", "by-four", send, ports.Price(2.0, 3.0))
+    docs = load(spark, sf_dir, "documents").where("text is not null")
+    found = generation.generate_table(docs, port, scratch(spark, "generations", keep=False), "doc_id", "text")
+    at = found.join(docs.select(F.col("doc_id").alias("id"), "source"), "id")
+    return at.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("digest").alias("n_prompts"), F.sum("input_tokens").alias("input_tokens"), F.round(F.sum("cost"), 9).alias("cost"))
+
+
 @query("""
 WITH d AS (SELECT doc_id, doc_id % 4 AS k FROM documents)
 SELECT doc_id AS file_id, CASE WHEN k = 1 THEN 7 WHEN k = 2 THEN 8 ELSE 1 END::INT AS version, k = 1 AS unchanged FROM d""")

@@ -23,10 +23,14 @@ def tables(spark, tmp_path_factory):
     ]
     bench = spark.createDataFrame([(7, item), (8, None)], "item_id bigint, text string")
     pages = spark.createDataFrame([], "page_id bigint, url string, html string")
+    labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    vectors = spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int")
     for name, own in (("rows", rows), ("none", [])):
         spark.createDataFrame(own, SCHEMA).withColumns({c: F.lit(9) for c in ("row", "id", "epoch", "domain", "bad", "plan")}).write.parquet(f"{base}/{name}/documents.parquet")
         bench.write.parquet(f"{base}/{name}/benchmark.parquet")
         pages.write.parquet(f"{base}/{name}/pages.parquet")
+        labels.write.parquet(f"{base}/{name}/labels.parquet")
+        vectors.write.parquet(f"{base}/{name}/embeddings.parquet")
     return {name: f"{base}/{name}" for name in ("rows", "none")}
 
 

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,30 +38,29 @@ END_ID = 0
 def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS) -> None:
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = encoder(IdEncoder, tokenizer_path)
-        end = np.array([END_ID], "<u4").tobytes()
+        end = np.array([END_ID], "<u4")
         first_rule = ids.library.get_vocab_size(with_added_tokens=True)
         shard, number = TaskContext.get().partitionId(), 0
         names: list = []
-        texts: list[bytes] = []
+        texts: list[np.ndarray] = []
         n = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal names, texts, n, number
-            starts = np.cumsum([0, *(len(t) // 4 for t in texts)])[:-1]
-            g = repair_grammar.compress(np.frombuffer(b"".join(texts), "<u4"), starts, first_rule)
+            starts = np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1]
+            g = repair_grammar.compress(np.concatenate([x for t in texts for x in (t, end)]), starts, first_rule)
             row = [shard, number, len(names), n, names, repair_grammar.pack(g)]
             kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
             names, texts, n, number = [], [], 0, number + 1
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], ["shard", "block", "n_docs", "n_tokens", "doc_ids", "payload"])
 
         for batch in batches:
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = ids.encode(text) + end
-                if texts and n + len(own) // 4 > block_tokens:
+            for name, own in zip(batch.column(0).to_pylist(), chain.from_iterable(ids.columns(batch.column(1))), strict=True):
+                if texts and n + len(own) + 1 > block_tokens:
                     yield flush()
                 names.append(name)
                 texts.append(own)
-                n += len(own) // 4
+                n += len(own) + 1
         if texts:
             yield flush()
 

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from urllib.parse import urljoin, urlsplit
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as tx
@@ -151,27 +151,37 @@ def matches_patterns(url: Column, include: tuple[str, ...], exclude: tuple[str,
     return kept & ~any_of(exclude) if exclude else kept
 
 
-def links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """url, position, link: absolute, canonical links of each page, each once, in order."""
+def placed_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """url, place, link: absolute, canonical links of each page, each once, with the number of the first target that names it."""
     at = pages.select(F.col(url_col).alias("url"), hrefs(F.col(html_col)).alias("hrefs")).where(F.size("hrefs") > 0)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for base, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own: dict[str, None] = {}
-                for h in found:
+                own: dict[str, int] = {}
+                for k, h in enumerate(found):
                     try:
                         u = urljoin(base, h.strip())
                         if urlsplit(u).scheme in ("http", "https"):
-                            own.setdefault(canonical(u))
+                            own.setdefault(canonical(u), k)
                     except ValueError:
                         continue
-                rows += [(base, k, u) for k, u in enumerate(own)]
+                rows += [(base, k, u) for u, k in own.items()]
             cols = list(zip(*rows, strict=True)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string())], ["url", "position", "link"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string())], ["url", "place", "link"])
+
+    return at.mapInArrow(of, "url string, place int, link string")
+
 
-    return at.mapInArrow(of, "url string, position int, link string")
+def links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """url, position, link: absolute, canonical links of each URL, each once, in order.
+
+    Several pages of one URL have one list: a link stands where the first of them
+    names it, and of links with one place the lesser comes first.
+    """
+    own = placed_links(pages, url_col, html_col).repartition("url").groupBy("url", "link").agg(F.min("place").alias("place"))
+    return own.select("url", (F.row_number().over(Window.partitionBy("url").orderBy("place", "link")) - 1).alias("position"), "link")
 
 
 def sitemap_pages(sitemaps: DataFrame, depth: int = 2) -> DataFrame:
@@ -201,7 +211,7 @@ def crawl(pages: DataFrame, config: WebConfig, seen: DataFrame, robots: DataFram
     if config.respect_robots and robots is not None:
         path = F.regexp_replace(F.regexp_replace("url", "^https?://[^/]+", ""), r"\?.*$", "")
         own = own.withColumn("origin", origin).join(F.broadcast(robots.where(F.col("origin").isin(*origins))), "origin", "left").where(allowed(path, F.col("rules"))).drop("origin", "rules")
-    edges = written(links(own).select("url", "link"), "crawl-links")
+    edges = written(placed_links(own).select("url", "link"), "crawl-links")
     starts = spark.createDataFrame([(canonical(u),) for u in config.start_urls], "url string")
     starts = starts if sitemaps is None else starts.unionByName(sitemap_pages(sitemaps))
     reached = written(starts.distinct().join(own.select("url"), "url", "left_semi").withColumn("depth", F.lit(0)), "crawl-reached")
